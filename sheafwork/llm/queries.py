@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafwork.llm import lines, mixing, secrets
+from sheafwork.llm import lines, minhash, mixing, packing, secrets
 from sheafwork.llm.common import Scratch
 
 
@@ -16,15 +16,29 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = packing.TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), Scratch(spark, "pack"), tokenizer_path())
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), Scratch(spark, "minhash"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = lines.line_dedup(docs, Scratch(spark, "lines"))
     return out.selectExpr("doc_id", "_n_lines AS n_lines", "_n_removed AS n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op8_secret_scan, op10_line_dedup)}
-ORACLES = {"op5_mix_sources": mixing.ORACLE, "op10_line_dedup": lines.ORACLE}
+QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_pack, op8_secret_scan, op9_minhash_dedup, op10_line_dedup)}
+ORACLES = {"op9_minhash_dedup": minhash.ORACLE, "op5_mix_sources": mixing.ORACLE, "op10_line_dedup": lines.ORACLE}

@@ -91,7 +91,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Null and empty texts have no spans (the digest is of the empty string). Repeated rows and ids each
-    give a row; an empty table gives none; other columns are not read. Texts are scanned whole.
+    give a row; an empty table gives none; other columns are not read. Texts are scanned whole. Added
+    spans (kind ``entropy``) are only those that no base span overlaps.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), t.alias("t"))
@@ -104,12 +105,15 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         _spans(F.col("t"), CANDIDATE, "entropy", 3).alias("c"),
     )
 
+    known = F.concat("a", "k", "h")
+
     def secret(x: Column) -> Column:
         m = x["match"]
+        met = F.exists(known, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
         is_hex = m.rlike(r"^[0-9a-fA-F]+$")
         # Letters alone are words of prose and digits alone are numbers; a key mixes both.
         mixed = m.rlike("[A-Za-z]") & m.rlike("[0-9]")
-        return mixed & ~m.rlike(ALLOW) & (window_entropy(m) >= F.when(is_hex, F.lit(HEX_BITS)).otherwise(F.lit(MIXED_BITS)))
+        return mixed & ~met & ~m.rlike(ALLOW) & (window_entropy(m) >= F.when(is_hex, F.lit(HEX_BITS)).otherwise(F.lit(MIXED_BITS)))
 
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -119,6 +123,6 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         F.size("a").cast("long").alias("n_assign"),
         F.size("k").cast("long").alias("n_access"),
         F.size("h").cast("long").alias("n_hex"),
-        F.sha2(joined(F.concat("a", "k", "h")).cast("binary"), 256).alias("base_sha256"),
-        joined(F.concat(F.col("a"), F.col("k"), F.col("h"), F.filter(F.col("c"), secret))).alias("spans"),
+        F.sha2(joined(known).cast("binary"), 256).alias("base_sha256"),
+        joined(F.concat(known, F.filter(F.col("c"), secret))).alias("spans"),
     )
