@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafwork.llm import lines, minhash, mixing, packing, secrets
+from sheafwork.llm import language, lines, minhash, mixing, packing, secrets
 from sheafwork.llm.common import Scratch
 
 
@@ -16,6 +16,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(_read(spark, sf_dir, "documents"), Scratch(spark, "language"))
+
+
 def tokenizer_path(name: str = packing.TOKENIZER) -> str:
     import public_tokenizers
 
@@ -40,5 +44,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "_n_lines AS n_lines", "_n_removed AS n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_pack, op8_secret_scan, op9_minhash_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op5_mix_sources, op6_language_id, op7_pack, op8_secret_scan, op9_minhash_dedup, op10_line_dedup)}
 ORACLES = {"op9_minhash_dedup": minhash.ORACLE, "op5_mix_sources": mixing.ORACLE, "op10_line_dedup": lines.ORACLE}
