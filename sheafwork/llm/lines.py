@@ -87,7 +87,8 @@ def line_dedup(docs: DataFrame, scratch: Scratch, run: int = RUN, gram: int = GR
     one id but different texts are different texts. Extra columns pass through.
     """
     gone = repeated_lines(docs, scratch, run, gram, key, text).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "gone")
-    joined = docs.withColumn("_h", F.xxhash64(text)).join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
+    # Always a merge join: what is broadcast on small inputs would be no measure of large ones.
+    joined = docs.withColumn("_h", F.xxhash64(text)).join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
     lines = _lines(F.col(text))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     left = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.element_at(F.transform(F.array(lines), lambda l: F.array_join(F.transform(kept, lambda i: F.element_at(l, i + 1)), "\n")), 1))
