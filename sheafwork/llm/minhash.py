@@ -116,7 +116,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     lists = scratch.put(ranked.select("doc", F.explode(F.expr(f"slice(p, 1, size(p) - {MATCHES - 1})")).alias("x")).select("x.post", "doc"))
     # What can't meet anything leaves before any set is made.
     some = scratch.put(lists.select("doc").distinct())
-    picked = rows.where("doc_id is not null and text is not null").join(some, F.col("doc_id") == F.col("doc"), "left_semi")
+    picked = rows.where("doc_id is not null and text is not null").join(some.hint("merge"), F.col("doc_id") == F.col("doc"), "left_semi")
     sets = scratch.put(picked.mapInArrow(_sets, "doc long, set binary"))
     meta = scratch.put(classes.join(some, "doc", "left_semi").select("doc", "n", "sig"))
 
