@@ -9,8 +9,10 @@
 3. In each posting list the least class is the pivot; every other member is held against it. Pairs with
    MATCHES equal coordinates are confirmed on their full sets and linked.
 4. Lists whose members now are in one component are merged and done (skip). In the rest all members of
-   different components meet, so no link between components is lost; pairs inside a component need no
-   link, as the result is components. A group of near copies so costs its size and not its square.
+   different components meet in blocks, on signatures, so no link between components is lost; pairs
+   inside a component need no link, as the result is components. A pair is counted in the first list
+   that its documents share. A document that meets a large component is then held against the whole
+   component, in blocks of sets, so a group of near copies makes rows by its size, not its square.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ PERCENT = 75
 COORDS, MATCHES = 48, 20
 #: Members of a group of pairs that one copy of the pivot's set serves.
 PIVOT_SHARE = 256
+#: Members of a list or component that a block holds, and the size from which a component is large.
+BLOCK, LARGE = 512, 64
 
 _RANDOM = np.random.default_rng(20240229)
 #: Odd multipliers: one for each place in a shingle, one for each coordinate.
@@ -95,6 +99,84 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["src", "dst"])
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (post, i, j, side, doc, c, large, n, sig, mask) sorted by (post, i, j), a group a pair of blocks of a list.
+
+    Out: (a, b, null) for documents to compare, (a, null, component) for one to compare with a component.
+    """
+    key, group = None, []
+
+    def pairs() -> tuple[set, set]:
+        cols = list(zip(*group, strict=True))
+        k = key[0] >> 32
+        side, doc, comp, large, n = (np.array(c) for c in cols[:5])
+        sig, mask = np.array(cols[5], np.int32), np.array(cols[6], np.int64)
+        x = np.flatnonzero(side == 0)
+        y = x if key[1] == key[2] else np.flatnonzero(side == 1)
+        small, tall = np.minimum(n[x][:, None], n[y][None]), np.maximum(n[x][:, None], n[y][None])
+        open_ = (comp[x][:, None] != comp[y][None]) & (100 * small >= PERCENT * tall)
+        if key[1] == key[2]:
+            open_ &= np.triu(np.ones(open_.shape, bool), 1)
+        if not open_.any():
+            return set(), set()
+        same = np.zeros(open_.shape, np.int16)
+        for c in range(COORDS):
+            eq = sig[x, c][:, None] == sig[y, c][None]
+            same += eq
+            if c < k:  # met in an earlier list
+                open_ &= ~(eq & ((mask[x] >> c & 1) == 1)[:, None] & ((mask[y] >> c & 1) == 1)[None])
+        r, c = np.nonzero(open_ & (same >= MATCHES))
+        r, c = x[r], y[c]
+        two, one = set(), set()
+        to_c, to_r = large[c], ~large[c] & large[r]
+        one.update(zip(doc[r[to_c]].tolist(), comp[c[to_c]].tolist(), strict=True))
+        one.update(zip(doc[c[to_r]].tolist(), comp[r[to_r]].tolist(), strict=True))
+        rest = ~to_c & ~to_r
+        two.update(zip(np.minimum(doc[r[rest]], doc[c[rest]]).tolist(), np.maximum(doc[r[rest]], doc[c[rest]]).tolist(), strict=True))
+        return two, one
+
+    def out() -> Iterator[pa.RecordBatch]:
+        two, one = pairs() if len(group) > 1 else ((), ())
+        rows = [(a, b, None) for a, b in two] + [(a, None, c) for a, c in one]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "c"])
+
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:3] != key:
+                yield from out()
+                key, group = row[:3], []
+            group.append(row[3:])
+    yield from out()
+
+
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (c, block, ask, doc, set) sorted: a block's members (ask 0), then the documents held against them."""
+    key, docs, sets, every, owner = None, [], [], None, None
+    for b in batches:
+        left, right = [], []
+        for c, block, ask, doc, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            if (c, block) != key:
+                key, docs, sets, every = (c, block), [], [], None
+            s = np.frombuffer(data, np.uint64)
+            if not ask:
+                docs.append(doc)
+                sets.append(s)
+                continue
+            if not docs:
+                continue
+            if every is None:
+                size = np.array([len(x) for x in sets])
+                every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            at = np.minimum(np.searchsorted(s, every), len(s) - 1)
+            both = np.bincount(owner[s[at] == every], minlength=len(docs))
+            hit = np.flatnonzero(100 * both >= PERCENT * (len(s) + size - both))
+            if len(hit):  # one link joins the components
+                left.append(doc)
+                right.append(docs[hit[0]])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["src", "dst"])
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
@@ -109,7 +191,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     named = sketch.where("doc_id is not null and print is not null")
     classes = scratch.put(named.groupBy("print").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
-    posts = classes.select("doc", F.posexplode("sig").alias("k", "v")).select("doc", F.expr("shiftleft(cast(k as bigint), 32) + v").alias("post"))
+    posts = classes.select("doc", F.posexplode("sig").alias("k", "v")).select("doc", F.expr("shiftleft(cast(k as bigint), 32) + (cast(v as bigint) & 4294967295)").alias("post"))
     common = posts.groupBy("post").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     met = posts.join(common, "post")
     ranked = met.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "post"))).alias("p")).where(F.size("p") >= MATCHES)
@@ -139,20 +221,34 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     pivot = lists.groupBy("post").agg(F.min("doc").alias("a"))
     first = linked(lists.join(pivot, "post").where("a <> doc").select("a", F.col("doc").alias("b")).distinct())
     parts_ = scratch.put(connected_components(first, scratch))
-    member = lists.join(parts_.withColumnRenamed("node", "doc"), "doc", "left").select("post", "doc", F.coalesce("component", "doc").alias("c"))
-    mixed = member.groupBy("post").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("post")
-    open_ = scratch.put(member.join(mixed, "post", "left_semi"))
-    x, y = open_.toDF("post", "a", "ca"), open_.toDF("post", "b", "cb")
-    second = linked(x.join(y, "post").where("ca < cb").select("a", "b").distinct())
+    sizes = scratch.put(parts_.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE))
+    homes = scratch.put(some.join(parts_, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("c")))
+    member = scratch.put(lists.join(homes, "doc").select("post", "doc", "c"))
+    mixed = scratch.put(member.groupBy("post").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("length")).where("lo < hi").select("post", "length"))
+    open_ = member.join(mixed, "post").withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("int"))
+    masks = lists.groupBy("doc").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(post, 32) as int)))").alias("mask"))
+    known = scratch.put(meta.join(masks, "doc").join(homes, "doc").join(sizes, F.col("c") == F.col("component"), "left").select("doc", F.col("component").isNotNull().alias("large"), "n", "sig", "mask"))
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("post", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc", "c")
+    blocks = dealt.join(known, "doc").select("post", "i", "j", "side", "doc", "c", "large", "n", "sig", "mask")
+    met = scratch.put(blocks.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j").mapInArrow(_meet, "a long, b long, c long"))
+    second = linked(met.where("b is not null").select("a", "b").distinct())
+    # Documents against whole components, a block of members at a time.
+    asked = met.where("c is not null").select("a", "c").distinct().join(sizes.withColumnRenamed("component", "c"), "c")
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    asks = asked.select("c", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), "a").join(sets.withColumnRenamed("doc", "a"), "a").select("c", "block", F.lit(1).alias("ask"), F.col("a").alias("doc"), "set")
+    held = homes.join(sizes.withColumnRenamed("component", "c"), "c").select("c", F.pmod(F.xxhash64("doc"), n_blocks).cast("int").alias("block"), F.lit(0).alias("ask"), "doc").join(sets, "doc").select("c", "block", "ask", "doc", "set")
+    third = scratch.put(held.unionByName(asks).repartition("c", "block").sortWithinPartitions("c", "block", "ask").mapInArrow(_against, "src long, dst long"))
     # An id with several texts links their classes.
     several = named.groupBy("doc_id").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("doc_id")
     same_id = named.join(several, "doc_id", "left_semi").select("doc_id", "print").join(classes.select("print", "doc"), "print").select(F.col("doc_id").alias("src"), F.col("doc").alias("dst"))
-    component = scratch.put(connected_components(first.unionByName(second).unionByName(same_id), scratch))
+    component = scratch.put(connected_components(first.unionByName(second).unionByName(third).unionByName(same_id), scratch))
 
     by_print = scratch.put(classes.join(component, F.col("doc") == F.col("node"), "left").select("print", F.coalesce("component", "doc").alias("component")))
     found = sketch.select("doc_id", F.col("n").alias("n_shingles"), "print").join(by_print, "print", "left")
     whole = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    scratch.drop(lists, some, sets, meta, open_, parts_, first, second, classes)
+    scratch.drop(lists, some, sets, meta, parts_, sizes, homes, member, mixed, known, met, first, second, third, classes)
     return found.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
