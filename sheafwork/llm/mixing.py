@@ -70,7 +70,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     document without words takes no room and stays once, except where its id is null."""
     taken = mix(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("_t"), F.count(F.lit(1)).alias("_n"))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    out = docs.withColumn("_size", size).join(taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_s"), "_t", "_n"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_s")))
+    # Always a merge join, as the texts are the large side at any scale.
+    out = docs.withColumn("_size", size).join(taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_s"), "_t", "_n").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_s")))
     times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.round(F.col("_t") / (F.col("_n") * F.col("_size")))).cast("int")
     return out.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafwork.llm import embeddings, html, language, lines, minhash, mixing, packing, secrets
+from sheafwork.llm import embeddings, html, language, lines, minhash, mixing, packing, quality, secrets
 from sheafwork.llm.common import Scratch
 
 
@@ -20,6 +20,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"), Scratch(spark, "vectors"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), Scratch(spark, "quality"))
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.top_k(_read(spark, sf_dir, "embeddings"), Scratch(spark, "topk"))
 
@@ -56,5 +60,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "_n_lines AS n_lines", "_n_removed AS n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_embedding_dedup, op4_topk_search, op5_mix_sources, op6_language_id, op7_pack, op8_secret_scan, op9_minhash_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_embedding_dedup, op3_quality_classifier, op4_topk_search, op5_mix_sources, op6_language_id, op7_pack, op8_secret_scan, op9_minhash_dedup, op10_line_dedup)}
 ORACLES = {"op2_embedding_dedup": embeddings.DEDUP_ORACLE, "op4_topk_search": embeddings.TOPK_ORACLE, "op9_minhash_dedup": minhash.ORACLE, "op5_mix_sources": mixing.ORACLE, "op10_line_dedup": lines.ORACLE}
