@@ -63,8 +63,8 @@ def first_good(df: DataFrame, prompt: str = "prompt") -> DataFrame:
 
 def prepare(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Cleaned and normalized ``final_text`` per document."""
-    d = cleanup.cleanup(df, text, "_c").drop("original_length", "cleaned_length", "steps")
-    return cleanup.normalize(d, "_c", "final_text").drop("_c")
+    d = cleanup.cleanup(df, text, "_cleaned").drop("original_length", "cleaned_length", "steps")
+    return cleanup.normalize(d, "_cleaned", "final_text").drop("_cleaned")
 
 
 def hierarchical(selected: DataFrame, provider: type, key: str = "doc_id", budget: int = 350) -> DataFrame:
@@ -79,8 +79,8 @@ def generate_offline(df: DataFrame, text: str = "text", mode: str = "mode", task
     """The whole path where no provider answers: prepared text, fallback, post-processing, formatting."""
     d = prepare(df, text, key)
     d = d.withColumn("_r", routing.fallback_output(F.col("final_text"), F.col(mode), F.col(task)))
-    d = postprocess.postprocess(d, "_r", "_p").drop("_r", "original_length", "final_length", "steps")
-    d = formatting.format_output(d, "_p", task, "final_text").drop("_p")
+    d = postprocess.postprocess(d, "_r", "_answer").drop("_r", "original_length", "final_length", "steps")
+    d = formatting.format_output(d, "_answer", task, "final_text").drop("_answer")
     n = T.n_words(F.col("final_text"))
     return d.withColumn("generation_strategy", chunks.plan_strategy(F.lit(1), n)).withColumn("provider", F.lit("offline"))
 
