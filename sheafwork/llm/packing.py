@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafwork.llm import bpe
 from sheafwork.llm.common import Scratch, small_batches
 
 SEQ_LEN = 2048
@@ -30,34 +31,66 @@ TRIPLES = 12_000
 #: Rows of one length that one task ranks.
 RANKED_ROWS = 100_000
 #: Words whose ids a Python worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
+#: Bytes of text whose new words are merged together.
+AT_ONCE = 4_000_000
 
 
 class WordTokenizer:
     """Whole-text ids through a cache of words.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words
-    split at ASCII white space, joined.
+    split at ASCII white space, joined. New words of a batch are merged together.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.encode, self.cached, self.known = Tokenizer.from_file(path).encode_batch, cached, {}
+        self.encode, self.cached = Tokenizer.from_file(path).encode_batch, cached
+        self.merges = bpe.Merges(path)
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def learn(self, new: list[bytes]) -> None:
+        if len(self.known) > self.cached:
+            self.known.clear()
+        if len(self.parts) > self.cached:
+            self.parts.clear()
+        split = {w: bpe.split(w) for w in new}
+        parts = self.parts
+        fresh = list({p for ps in split.values() if ps for p in ps if p not in parts})
+        if fresh:
+            parts.update(zip(fresh, self.merges.encode(fresh), strict=True))
+        other = [w for w, ps in split.items() if ps is None]
+        for w, e in zip(other, self.encode([w.decode("utf-8") for w in other], add_special_tokens=False) if other else (), strict=True):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.known.update((w, b"".join([parts[p] for p in ps])) for w, ps in split.items() if ps is not None)
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = text.lower().split()  # ASCII only; the tokenizer ignores case
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > self.cached:
-                known.clear()
-            new = [w for w in set(words) if w not in known]
-            for w, e in zip(new, self.encode([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([known[w] for w in words])
+        return next(self.all_ids([text]))
+
+    def all_ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Of each text in order, some megabytes of text at a time."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= AT_ONCE):
+                size += len(texts[end])
+                end += 1
+            # ASCII only; the tokenizer ignores case.
+            words = [t.lower().split() for t in texts[at:end]]
+            new = set().union(*words).difference(self.known) if words else ()
+            if new:
+                self.learn(list(new))
+            known = self.known
+            for w in words:
+                try:
+                    yield b"".join([known[x] for x in w])
+                except KeyError:  # the cache was emptied since
+                    self.learn([x for x in set(w) if x not in known])
+                    yield b"".join([known[x] for x in w])
+            at = end
 
 
 @lru_cache(maxsize=2)
@@ -76,8 +109,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, key: st
         end = np.array([SEPARATOR], "<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = tok.ids(t or b"") + end
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            for i, ids in zip(b.column(0).to_pylist(), tok.all_ids(texts), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * seq_len)):
                     part = ids[at : at + 4 * seq_len]
                     out.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
