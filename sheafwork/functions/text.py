@@ -45,10 +45,17 @@ def n_words(c: Column) -> Column:
     return F.size(words(c))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it.
+
+    Chains of steps that name their input several times would else cost a power of it.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lines(c: Column) -> Column:
     """The lines of a text; one at the end that is empty is none."""
-    all_ = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(all_, -1) == "", F.slice(all_, 1, F.size(all_) - 1)).otherwise(all_)
+    return let(F.split(c, LINE_END, -1), lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a))
 
 
 def full_lines(c: Column) -> Column:

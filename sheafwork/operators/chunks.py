@@ -13,16 +13,17 @@ MAX_WORDS, MAX_CHUNKS = 220, 8
 
 def split_words(c: Column, limit: int = MAX_WORDS) -> Column:
     """One part, line ends kept, where the words fit; else windows of ``limit`` words joined by spaces."""
-    w = T.words(c)
-    n = F.size(w)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(limit))
-    parts = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(limit)), " "))
-    return F.when(n > limit, parts).when(n > 0, F.array(T.strip(c))).otherwise(F.array().cast("array<string>"))
+    def parts(x: Column) -> Column:
+        n = F.size(x["w"])
+        starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(limit))
+        cut = F.transform(starts, lambda i: F.array_join(F.slice(x["w"], i + 1, F.lit(limit)), " "))
+        return F.when(n > limit, cut).when(n > 0, F.array(T.strip(x["c"]))).otherwise(F.array().cast("array<string>"))
+
+    return T.let(F.struct(T.words(c).alias("w"), c.alias("c")), parts)
 
 
 def low_value(c: Column) -> Column:
-    t = T.strip(c)
-    return (t == "") | T.has_any(t, V.LOW_VALUE_PHRASES) | (T.n_words(t) < 4)
+    return T.let(T.strip(c), lambda t: (t == "") | T.has_any(t, V.LOW_VALUE_PHRASES) | (T.n_words(t) < 4))
 
 
 def low_value_kv(key: Column, value: Column) -> Column:
@@ -39,10 +40,14 @@ def _row(cells: Column) -> Column:
 
 def table_markdown(rows: Column) -> Column:
     """Header, separator, body; short rows are filled up with empty cells."""
-    width = F.array_max(F.transform(rows, F.size))
-    full = F.transform(rows, lambda r: F.concat(F.transform(r, T.strip), F.array_repeat(F.lit(""), width - F.size(r))))
-    lines = F.concat(F.array(_row(F.element_at(full, 1)), _row(F.array_repeat(F.lit("---"), width))), F.transform(F.slice(full, 2, F.size(full)), _row))
-    return F.when(F.size(rows) > 0, T.joined(lines)).otherwise("")
+    def made(full: Column) -> Column:
+        return T.joined(F.concat(F.array(_row(F.element_at(full, 1)), _row(F.array_repeat(F.lit("---"), F.size(F.element_at(full, 1))))), F.transform(F.slice(full, 2, F.size(full)), _row)))
+
+    def filled(rows: Column) -> Column:
+        width = F.array_max(F.transform(rows, F.size))
+        return F.when(F.size(rows) > 0, T.let(F.transform(rows, lambda r: F.concat(F.transform(r, T.strip), F.array_repeat(F.lit(""), width - F.size(r)))), made)).otherwise("")
+
+    return T.let(rows, filled)
 
 
 def _chunk(kind: str, rank: int, title: Column, content: Column, index: Column, priority: Column) -> Column:

@@ -42,8 +42,7 @@ def bullet_norm(c: Column) -> Column:
 
 
 def is_page_noise(line: Column) -> Column:
-    low = F.lower(T.strip(line))
-    return reduce(lambda a, b: a | b, [T.matches(low, p, "i") for p in V.PAGE_NOISE])
+    return T.let(F.lower(T.strip(line)), lambda low: reduce(lambda a, b: a | b, [T.matches(low, p, "i") for p in V.PAGE_NOISE]))
 
 
 def page_noise(c: Column) -> Column:

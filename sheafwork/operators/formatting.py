@@ -33,9 +33,11 @@ def _is_row(s: Column) -> Column:
 
 def valid_table(c: Column) -> Column:
     """Three pipe-bounded lines or more, of which two say something."""
-    rows = F.filter(T.full_lines(c), _is_row)
-    says = F.filter(rows, lambda s: ~T.matches(s, r"\A\|[\s\-:|]+\|\z") & F.exists(_cells(s), lambda x: x != ""))
-    return (F.size(rows) >= 3) & (F.size(says) >= 2)
+    def says(rows: Column) -> Column:
+        full = F.filter(rows, lambda s: ~T.matches(s, r"\A\|[\s\-:|]+\|\z") & F.exists(_cells(s), lambda x: x != ""))
+        return (F.size(rows) >= 3) & (F.size(full) >= 2)
+
+    return T.let(F.filter(T.full_lines(c), _is_row), says)
 
 
 def drop_blank_rows(c: Column) -> Column:
@@ -44,12 +46,20 @@ def drop_blank_rows(c: Column) -> Column:
 
 def rows_to_markdown(rows: Column) -> Column:
     """A table of rows, short ones and empty cells filled with "Not specified"; body rows of nothing else go; '' under two rows."""
-    width = F.array_max(F.transform(rows, F.size))
     none = F.lit(V.UNSPECIFIED)
-    full = F.transform(rows, lambda r: F.concat(F.transform(r, lambda x: T.strip(F.when(F.coalesce(x, F.lit("")) == "", none).otherwise(x))), F.array_repeat(none, width - F.size(r))))
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    body = F.transform(F.filter(F.slice(full, 2, F.size(full)), lambda r: F.exists(r, lambda x: (x != "") & (x != V.UNSPECIFIED))), line)
-    return F.when(F.size(rows) >= 2, T.strip(T.joined(F.concat(F.array(line(F.element_at(full, 1)), line(F.array_repeat(F.lit("---"), width))), body)))).otherwise("")
+
+    def made(full: Column) -> Column:
+        head = F.element_at(full, 1)
+        body = F.transform(F.filter(F.slice(full, 2, F.size(full)), lambda r: F.exists(r, lambda x: (x != "") & (x != V.UNSPECIFIED))), line)
+        return T.strip(T.joined(F.concat(F.array(line(head), line(F.array_repeat(F.lit("---"), F.size(head)))), body)))
+
+    def filled(rows: Column) -> Column:
+        width = F.array_max(F.transform(rows, F.size))
+        full = F.transform(rows, lambda r: F.concat(F.transform(r, lambda x: T.strip(F.when(F.coalesce(x, F.lit("")) == "", none).otherwise(x))), F.array_repeat(none, width - F.size(r))))
+        return F.when(F.size(rows) >= 2, T.let(full, made)).otherwise("")
+
+    return T.let(rows, filled)
 
 
 def _unmarked(line: Column) -> Column:
@@ -66,10 +76,14 @@ def action_table(c: Column) -> Column:
 
 def named_sections(c: Column, names: list[str]) -> Column:
     """As it is where two of the names occur; else the first line under the first name, and stubs."""
-    found = T.hits(c, [n.lower() for n in names])
-    lines = T.full_lines(c)
     stubs = "".join(f"\n\n{n}\n{V.NOT_AVAILABLE}" for n in names[1:])
-    return F.when((found >= 2) | (F.size(lines) == 0), c).otherwise(F.concat(F.lit(names[0] + "\n"), F.element_at(lines, 1), F.lit(stubs)))
+
+    def shaped(c: Column) -> Column:
+        first = F.get(T.full_lines(c), F.lit(0))
+        built = T.let(first, lambda x: F.when(x.isNull(), c).otherwise(F.concat(F.lit(names[0] + "\n"), x, F.lit(stubs))))
+        return F.when(T.hits(c, [n.lower() for n in names]) >= 2, c).otherwise(built)
+
+    return T.let(c, shaped)
 
 
 def email_shell(c: Column) -> Column:
@@ -80,53 +94,67 @@ def email_shell(c: Column) -> Column:
 
 
 def email_body(source: Column) -> Column:
-    one = T.collapse(T.text_or_empty(source))
-    parts = F.filter(F.transform(T.sentences(one), T.strip), lambda x: x != "")
-    return F.when(one == "", V.NO_EMAIL_SOURCE).otherwise(F.array_join(F.slice(parts, 1, 5), " "))
+    def body(one: Column) -> Column:
+        parts = F.filter(F.transform(T.sentences(one), T.strip), lambda x: x != "")
+        return F.when(one == "", V.NO_EMAIL_SOURCE).otherwise(F.array_join(F.slice(parts, 1, 5), " "))
+
+    return T.let(T.collapse(T.text_or_empty(source)), body)
 
 
 def email_subject(source: Column) -> Column:
-    one = T.collapse(T.text_or_empty(source))
-    first = F.regexp_replace(F.element_at(T.sentences(one), 1), r"\A[ .]+|[ .]+\z", "")
-    short = F.when(T.n_words(first) > 10, F.array_join(F.slice(T.words(first), 1, 10), " ")).otherwise(first)
-    return F.when(one == "", V.UNSPECIFIED).otherwise(F.coalesce(F.nullif(F.substring(short, 1, 90), F.lit("")), F.lit(V.UNSPECIFIED)))
+    first = F.regexp_replace(F.element_at(T.sentences(T.collapse(T.text_or_empty(source))), 1), r"\A[ .]+|[ .]+\z", "")
+    # The words of a first sentence without outer spaces are parted by one space each.
+    short = T.let(first, lambda f: F.when(T.n_words(f) > 10, F.array_join(F.slice(T.words(f), 1, 10), " ")).otherwise(f))
+    return F.coalesce(F.nullif(F.substring(short, 1, 90), F.lit("")), F.lit(V.UNSPECIFIED))
 
 
 def email_repair(c: Column, source: Column) -> Column:
     """Kept with a subject line and words of its own; else built of its lines, or of the source."""
-    lines = F.transform(F.filter(T.lines(c), lambda x: T.strip(x) != ""), lambda x: F.regexp_replace(x, r"\A[ -]+|[ -]+\z", ""))
-    body = F.when(F.size(lines) > 0, T.joined(lines, "\n\n")).otherwise(T.strip(c))
-    body = F.when((body == "") | email_shell(body), email_body(source)).otherwise(body)
-    built = T.strip(F.concat(F.lit("Subject: "), email_subject(source), F.lit("\n\nDear Recipient,\n\n"), body, F.lit("\n\nRegards,\n\n[Your Name]")))
-    return F.when(T.matches(c, r"^subject\s*:", "im") & ~email_shell(c), c).otherwise(built)
+    def repaired(c: Column) -> Column:
+        lines = F.transform(F.filter(T.lines(c), lambda x: T.strip(x) != ""), lambda x: F.regexp_replace(x, r"\A[ -]+|[ -]+\z", ""))
+        own = T.joined(lines, "\n\n")  # '' where there are none
+        body = T.let(own, lambda b: F.when((b == "") | email_shell(b), email_body(source)).otherwise(b))
+        built = T.strip(F.concat(F.lit("Subject: "), email_subject(source), F.lit("\n\nDear Recipient,\n\n"), body, F.lit("\n\nRegards,\n\n[Your Name]")))
+        return F.when(T.matches(c, r"^subject\s*:", "im") & ~email_shell(c), c).otherwise(built)
+
+    return T.let(c, repaired)
 
 
 def task_shape(c: Column, task: Column, source: Column) -> Column:
-    t = T.strip(c)
-    out = F.when(task == "email_draft", email_repair(t, source)).when((task == "action_items") & ~valid_table(t), action_table(t))
-    for name, names in V.NAMED_SECTIONS.items():
-        out = out.when(task == name, named_sections(t, names))
-    return out.otherwise(t)
+    def shaped(t: Column) -> Column:
+        out = F.when(task == "email_draft", email_repair(t, source)).when((task == "action_items") & ~valid_table(t), action_table(t))
+        for name, names in V.NAMED_SECTIONS.items():
+            out = out.when(task == name, named_sections(t, names))
+        return out.otherwise(t)
+
+    return T.let(T.strip(c), shaped)
 
 
 def rows_from_patterns(c: Column) -> Column:
     """array of rows: ``key: value`` lines under Field and Value (two or more), else pipe rows (two or more), else empty."""
-    lines = T.full_lines(c)
+    return T.let(T.full_lines(c), _rows_from_lines)
+
+
+def _rows_from_lines(lines: Column) -> Column:
     none = F.array().cast("array<array<string>>")
     pairs = F.filter(F.transform(F.filter(F.transform(lines, _unmarked), lambda x: x.contains(":")), lambda x: F.array(T.strip(F.regexp_extract(x, r"(?s)\A([^:]*):(.*)\z", 1)), T.strip(F.regexp_extract(x, r"(?s)\A([^:]*):(.*)\z", 2)))), lambda p: (p[0] != "") & (p[1] != ""))
     cells = F.filter(F.transform(F.filter(lines, lambda x: x.contains("|")), lambda x: F.filter(_cells(x), lambda s: s != "")), lambda r: F.size(r) >= 2)
-    return F.when(F.size(pairs) >= 2, F.concat(F.array(F.array(F.lit("Field"), F.lit("Value"))), pairs)).when(F.size(cells) >= 2, cells).otherwise(none)
+    columns = T.let(cells, lambda a: F.when(F.size(a) >= 2, a).otherwise(none))
+    return T.let(pairs, lambda a: F.when(F.size(a) >= 2, F.concat(F.array(F.array(F.lit("Field"), F.lit("Value"))), a)).otherwise(columns))
 
 
 def ensure_table(c: Column, tables: Column | None = None, fields: Column | None = None) -> Column:
     """A valid table without its blank rows; else rows found in the text; else the structure's tables; else its
     fields; else items of the first 20 lines; else the text.
     """
-    none = F.array().cast("array<array<string>>")
+    return T.let(c, lambda t: _ensure_table(t, tables, fields))
+
+
+def _ensure_table(c: Column, tables: Column | None, fields: Column | None) -> Column:
     found = rows_from_patterns(c)
     lines = F.transform(F.slice(T.full_lines(c), 1, 20), lambda x, i: F.array((i + 1).cast("string"), _unmarked(x)))
     items = F.concat(F.array(F.array(F.lit("Item"), F.lit("Details"))), F.filter(lines, lambda r: r[1] != ""))
-    options = [F.when(F.size(found) > 0, rows_to_markdown(found))]
+    options = [rows_to_markdown(found)]
     if tables is not None:
         made = F.filter(F.transform(tables, lambda t: rows_to_markdown(t["rows"])), lambda x: x != "")
         options.append(F.when(F.size(made) > 0, F.element_at(made, 1)))

@@ -39,7 +39,7 @@ def strip_resources(c: Column) -> Column:
 
 
 def strip_closings(c: Column) -> Column:
-    return T.keep_lines(c, lambda x: ~reduce(lambda a, b: a | b, [T.matches(T.strip(x), p, "i") for p in V.CLOSINGS]))
+    return T.keep_lines(c, lambda x: T.let(T.strip(x), lambda s: ~reduce(lambda a, b: a | b, [T.matches(s, p, "i") for p in V.CLOSINGS])))
 
 
 def fix_markdown(c: Column) -> Column:
@@ -51,7 +51,7 @@ def post_bullets(c: Column) -> Column:
 
 
 def broken_bullets(c: Column) -> Column:
-    return T.keep_lines(c, lambda x: ~(T.strip(x).isin(V.BROKEN_BULLETS) | T.matches(T.strip(x), r"\A-\s*[-–—_*.\s]+\z")))
+    return T.keep_lines(c, lambda x: T.let(T.strip(x), lambda s: ~(s.isin(V.BROKEN_BULLETS) | T.matches(s, r"\A-\s*[-–—_*.\s]+\z"))))
 
 
 def numbered_lists(c: Column) -> Column:
@@ -74,13 +74,11 @@ def heading_key(stripped: Column) -> Column:
 
 def dedup_headings(c: Column) -> Column:
     """The first of each heading text stays. First places come from one array, so no fold is needed."""
-    l = T.lines(c)
-    keys = F.transform(l, lambda x: F.when(_is_heading(T.strip(x)), heading_key(T.strip(x))))
+    def kept(l: Column) -> Column:
+        keys = F.transform(l, lambda x: T.let(T.strip(x), lambda s: F.when(_is_heading(s), heading_key(s))))
+        return T.let(keys, lambda ks: T.joined(F.filter(l, lambda x, i: F.get(ks, i).isNull() | (F.array_position(ks, F.get(ks, i)) == i + 1))))
 
-    def kept(ks: Column) -> Column:
-        return T.joined(F.transform(F.filter(F.transform(l, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.get(ks, s["i"]).isNull() | (F.array_position(ks, F.get(ks, s["i"])) == s["i"] + 1)), lambda s: s["x"]))
-
-    return F.element_at(F.transform(F.array(keys), kept), 1)
+    return T.let(T.lines(c), kept)
 
 
 def dedup_lines(c: Column, recent: int = RECENT) -> Column:
@@ -98,17 +96,18 @@ def dedup_lines(c: Column, recent: int = RECENT) -> Column:
 
 def drop_empty_sections(c: Column) -> Column:
     """A heading goes where the next line that isn't blank is a heading, or there is none."""
-    l = T.lines(c)
-    places = F.filter(F.transform(l, lambda x, i: F.struct(T.strip(x).alias("s"), i.alias("i"))), lambda s: s["s"] != "")
+    def kept(l: Column) -> Column:
+        places = F.filter(F.transform(l, lambda x, i: F.struct(T.strip(x).alias("s"), i.alias("i"))), lambda s: s["s"] != "")
+
+        def rest(full: Column) -> Column:
+            # Of the full lines, those that start a section without content.
+            bad = F.filter(full, lambda s, k: s["s"].startswith("#") & F.coalesce(F.get(full, k + 1)["s"].startswith("#"), F.lit(True)))
+            every = F.when(F.size(l) > 0, F.sequence(F.lit(0), F.size(l) - 1)).otherwise(F.array().cast("array<int>"))
+            return T.joined(F.transform(F.array_except(every, F.transform(bad, lambda s: s["i"])), lambda i: F.get(l, i)))
 
-    def kept(full: Column) -> Column:
-        # Of the full lines, those that start a section without content.
-        bad = F.filter(full, lambda s, k: s["s"].startswith("#") & F.coalesce(F.get(full, k + 1)["s"].startswith("#"), F.lit(True)))
-        gone = F.transform(bad, lambda s: s["i"])
-        stay = F.array_except(F.when(F.size(l) > 0, F.sequence(F.lit(0), F.size(l) - 1)).otherwise(F.array().cast("array<int>")), gone)
-        return T.joined(F.transform(stay, lambda i: F.get(l, i)))
+        return T.let(places, rest)
 
-    return F.element_at(F.transform(F.array(places), kept), 1)
+    return T.let(T.lines(c), kept)
 
 
 def post_spacing(c: Column) -> Column:

@@ -63,19 +63,24 @@ def inline_headings(c: Column) -> Column:
 
 def title_of(first: Column) -> Column:
     """The first line where it is a title, else ''."""
-    first = T.strip(F.coalesce(first, F.lit("")))
+    return T.let(T.strip(F.coalesce(first, F.lit(""))), _title)
+
+
+def _title(first: Column) -> Column:
     lower = F.length(F.regexp_replace(first, r"[^\p{Ll}]", "")) / F.greatest(F.length(first), F.lit(1))
     fits = reduce(lambda a, b: a | b, [T.matches(first, p) for p in V.TITLE_PATTERNS])
     return F.when((T.n_words(first) <= 12) & ~ends_with(first, ".?!") & (lower <= 0.65) & fits, first).otherwise("")
 
 
 def detect_title(c: Column) -> Column:
-    found = T.full_lines(c)
-    return title_of(F.when(F.size(found) > 0, F.element_at(found, 1)))
+    return title_of(F.get(T.full_lines(c), F.lit(0)))
 
 
 def valid_heading(line: Column) -> Column:
-    c = T.strip(line)
+    return T.let(T.strip(line), _valid_heading)
+
+
+def _valid_heading(c: Column) -> Column:
     low = F.lower(c)
     layout = T.matches(low, r"\A[1-5]\.") & T.has_any(low, V.LAYOUT_WORDS)
     return (c != "") & (T.n_words(c) <= 10) & (F.length(c) <= 80) & ~ends_with(c, ".,;:") & ~layout & ~T.has_any(low, V.HEADING_REJECTS) & ~T.matches(c, r"\d+\.\s*\d+")
@@ -136,9 +141,12 @@ def key_values(c: Column) -> Column:
 
 def paragraphs(c: Column) -> Column:
     """Blocks between blank lines; where there is one at most, its sentences of more than 8 words."""
+    def found(x: Column) -> Column:
+        long_ = F.transform(F.filter(T.sentences(x["c"]), lambda s: T.n_words(s) > 8), T.strip)
+        return F.when(F.size(x["b"]) > 1, x["b"]).otherwise(long_)
+
     blocks = F.filter(F.transform(F.split(c, T.pattern(r"\n\s*\n"), -1), T.strip), lambda x: x != "")
-    long_ = F.transform(F.filter(T.sentences(c), lambda x: T.n_words(x) > 8), T.strip)
-    return F.when(F.size(blocks) > 1, blocks).otherwise(long_)
+    return T.let(F.struct(blocks.alias("b"), c.alias("c")), found)
 
 
 # ---- tables ----
@@ -155,10 +163,13 @@ def strip_pipes(c: Column) -> Column:
 
 def row_cells(line: Column) -> Column:
     """The cells of a row, empty ones dropped; null for what is no row (a separator, or fewer than two cells)."""
-    c = strip_pipes(T.strip(line))
+    return T.let(strip_pipes(T.strip(line)), _row_cells)
+
+
+def _row_cells(c: Column) -> Column:
     by = F.when(c.contains("|"), F.split(c, r"\|", -1)).when(c.contains("\t"), F.split(c, "\t", -1)).otherwise(F.split(c, T.pattern(r"\s{2,}"), -1))
     cells = F.filter(F.transform(by, T.strip), lambda x: x != "")
-    return F.when((c != "") & ~c.rlike(r"\A[-:| ]+\z") & (F.size(cells) >= 2), cells)
+    return F.when((c != "") & ~c.rlike(r"\A[-:| ]+\z"), T.let(cells, lambda a: F.when(F.size(a) >= 2, a)))
 
 
 def text_tables(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
