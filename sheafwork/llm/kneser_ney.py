@@ -107,6 +107,7 @@ class Model:
             if not len(left):
                 return out
             h = o.histories.find(part >> CHAR)
-            out[left] += np.where(h >= 0, o.logb[np.maximum(h, 0)], 0.0)
+            if len(o.logb):
+                out[left] += np.where(h >= 0, o.logb[np.maximum(h, 0)], 0.0)
         out[left] -= CHAR * np.log(2)
         return out
