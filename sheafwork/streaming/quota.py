@@ -39,11 +39,11 @@ def daily_quota_stream(events: DataFrame, limit: int = DAILY_LIMIT) -> DataFrame
 
     Within a micro-batch requests count in order of time and id; across batches, in order of arrival.
     """
-    d = events.select("event_id", "user_id", "ts").withWatermark("ts", WATERMARK).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    d = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", WATERMARK).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     return d.groupBy("user_id", "day").applyInPandasWithState(_admit(limit), "event_id long, user_id long, ts timestamp, day string, admitted boolean", "used int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_counts_stream(events: DataFrame, limit: int = MINUTE_LIMIT, key: str = "user_id") -> DataFrame:
     """(key, minute, requests, rejected) once a minute is past the watermark."""
-    d = events.withWatermark("ts", WATERMARK).groupBy(F.window("ts", "1 minute"), key).agg(F.count(F.lit(1)).alias("requests"))
+    d = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK).groupBy(F.window("ts", "1 minute"), key).agg(F.count(F.lit(1)).alias("requests"))
     return d.select(key, F.col("window.start").alias("minute"), "requests", F.greatest(F.col("requests") - limit, F.lit(0).cast("long")).alias("rejected"))
