@@ -22,9 +22,12 @@ from sheafwork.llm import trees
 from sheafwork.llm.common import small_batches
 from sheafwork.llm.dom import INLINE, RAW, Page, parse
 
-TRAINING_PAGES = 600
+TRAINING_PAGES = 900
 #: Never text, whatever the trees say.
 NEVER = RAW | frozenset("head button select option input datalist object audio video map dialog".split())
+#: Beside the article by their meaning, unless one holds an article or main element, or is a form with at
+#: least half of the page's text (some pages wrap all in a form).
+BESIDE = frozenset("nav menu footer aside form".split())
 
 # Attribute words by what they announce.
 WORDS = {
@@ -42,9 +45,9 @@ WORDS = {
 }
 KINDS = list(WORDS)
 KIND_OF = {w: KINDS.index(k) for k in reversed(KINDS) for w in WORDS[k].split()}
-GROUPS = ["p", "h1 h2 h3 h4 h5 h6 hgroup", "li dt dd", "ul ol dl menu", "div center", "section", "article", "main", "nav", "header", "footer", "aside", "form fieldset", "table tbody thead tfoot tr td th caption", "blockquote figure figcaption pre address details summary", "body html #root"]
+GROUPS = ["p", "h1 h2 h3 h4 h5 h6 hgroup", "li dt dd", "ul ol dl", "div center", "section", "article", "main", "nav menu search", "header", "footer", "aside", "form fieldset", "table tbody thead tfoot tr td th caption", "blockquote figure figcaption pre address details summary", "body html #root"]
 GROUP_OF = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
-N_OTHER = 12
+N_OTHER = 13
 
 
 def own_node(tag: str, words: tuple[str, ...]) -> bool:
@@ -57,10 +60,17 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray, list[int]]:
     nodes = page.nodes
     n = len(nodes)
     home = np.full(n, -1)
+    held = np.array([x.chars for x in nodes])
+    holds = np.array([x.tag in ("article", "main") for x in nodes])
+    for i in range(n - 1, 0, -1):
+        held[nodes[i].parent] += held[i]
+        holds[nodes[i].parent] |= holds[i]
     chars, links, stops, tags, paras = (np.zeros(n) for _ in range(5))
     for i, x in enumerate(nodes):
         if i and home[x.parent] < 0 or x.tag in NEVER or x.hidden:
             continue
+        if x.tag in BESIDE and not holds[i] and not (x.tag == "form" and 2 * held[i] >= held[0]):
+            continue
         home[i] = i if i == 0 or own_node(x.tag, x.words) else home[x.parent]
     judged = [i for i in range(n) if home[i] == i]
     direct = np.zeros(n)
@@ -101,13 +111,14 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray, list[int]]:
             inside[i] = np.maximum(inside[up], place[up])
     out = np.zeros((len(judged), N_OTHER + 2 * len(KINDS) + 2 * len(GROUPS)))
     total = max(1.0, chars[0])
+    main = holds[0]
     sibling = {c: (k, len(x.children)) for x in nodes for k, c in enumerate(x.children)}
     for r, i in enumerate(judged):
         k, many = sibling.get(i, (0, 1))
         x = nodes[i]
         out[r, :N_OTHER] = (
             x.depth, np.log1p(direct[i]), np.log1p(chars[i]), chars[i] / total, chars[i] / (tags[i] + 1), links[i] / max(1.0, chars[i]),
-            stops[i] / max(1.0, chars[i]), np.log1p(paras[i]), k / max(1, many - 1), many, len(x.children), chars[nodes[i].parent] / total if i else 1.0,
+            stops[i] / max(1.0, chars[i]), np.log1p(paras[i]), k / max(1, many - 1), many, len(x.children), chars[nodes[i].parent] / total if i else 1.0, main,
         )
     out[:, N_OTHER:] = np.concatenate([words[judged], above[judged], place[judged], inside[judged]], 1)
     return out, home, judged
@@ -199,15 +210,17 @@ class _Writer:
     def junk(self, kind: str) -> str:
         r = self.r
         cls = r.choice([*WORDS[kind].split(), ""]) if kind != "content" else ""
-        cls = r.choice([cls, f"{cls}-{r.choice(['box', 'wrap', 'list', 'inner'])}" if cls else ""])
+        cls = r.choice([cls, f"{cls}-{r.choice(['box', 'wrap', 'list', 'inner', 'content', 'text', 'area', 'section', 'container'])}" if cls else ""])
         named = {"nav": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form"}
         name = named[kind] if kind in named and (not cls or r.random() < 0.5) else r.choice(["div", "div", "section"])
         if name in ("div", "section") and not cls:
             cls = r.choice(WORDS[kind].split())
         if kind == "nav":
-            inner = self.links(r.randint(2, 9))
+            inner = r.choice([self.links(r.randint(2, 9)), self.links(r.randint(2, 9)), f'{self.words(1)} <a href="/a">{self.words(1)}</a> <a href="/b">{self.words(2)}</a>'])
+            if name == "nav" and r.random() < 0.15:
+                name = "menu"
         elif kind == "head":
-            inner = r.choice([self.tag("div", self.words(2), False), self.tag("h1", self.words(3), False), ""]) + r.choice([self.links(4), self.tag("p", self.words(5), False)])
+            inner = r.choice([self.tag("div", self.words(2), False), self.tag("h1", self.words(3), False), ""]) + r.choice([self.links(4), self.tag("p", self.words(5), False), self.words(r.randint(1, 6))])
         elif kind == "foot":
             inner = r.choice(["&copy; example.com &middot; " + self.words(6), self.p(False, 4, 25), self.links(5) + self.p(False, 4, 20)])
         elif kind == "side":
@@ -219,7 +232,7 @@ class _Writer:
         elif kind == "share":
             inner = self.links(3)
         else:
-            inner = r.choice([self.words(r.randint(4, 30)), self.p(False, 4, 40), self.tag("div", self.words(12), False)])
+            inner = r.choice([self.words(r.randint(4, 60)), self.p(False, 4, 60), self.tag("div", self.words(12), False)])
         return self.tag(name, inner, False, cls)
 
     def article(self) -> str:
@@ -229,7 +242,9 @@ class _Writer:
         parts.append(r.choice([title, title, self.tag("header", title, True), ""]))
         for _ in range(r.choice([1, 1, 1, 2, 3, 5, 8, 14])):
             kind = r.random()
-            if kind < 0.72:
+            if kind < 0.06:
+                parts.append(self.tag("div", self.words(r.randint(5, 80)), True))
+            elif kind < 0.72:
                 parts.append(self.p(True, 1, r.choice([5, 120, 120])))
             elif kind < 0.8:
                 parts.append(self.tag(r.choice(["h2", "h3"]), self.words(r.randint(1, 6)), True))
@@ -244,7 +259,7 @@ class _Writer:
                 parts.append(self.tag("table", rows, True))
             else:
                 parts.append(self.tag("figure", self.tag("figcaption", self.words(6), True), True))
-            if r.random() < 0.08:
+            if r.random() < 0.12:
                 parts.append(self.junk(r.choice(["ad", "share", "side", "notice", "form"])))
         body = "".join(parts)
         if r.random() < 0.3:

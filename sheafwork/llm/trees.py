@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-DEPTH, TREES, RATE, BINS, L2, LEAST = 4, 45, 0.3, 32, 2.0, 8
+DEPTH, TREES, RATE, BINS, L2, LEAST = 5, 45, 0.3, 32, 2.0, 8
 
 
 @dataclass
