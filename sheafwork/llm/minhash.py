@@ -11,8 +11,9 @@
 4. Lists whose members now are in one component are merged and done (skip). In the rest all members of
    different components meet in blocks, on signatures, so no link between components is lost; pairs
    inside a component need no link, as the result is components. A pair is counted in the first list
-   that its documents share. A document that meets a large component is then held against the whole
-   component, in blocks of sets, so a group of near copies makes rows by its size, not its square.
+   that its documents share. Long lists, and those with a large component, make no pairs: documents that
+   have one there are held against the list's lead component and one another, in blocks of sets, so a
+   group of near copies makes rows by its size, not its square.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ PERCENT = 75
 COORDS, MATCHES = 48, 20
 #: Members of a group of pairs that one copy of the pivot's set serves.
 PIVOT_SHARE = 256
-#: Members of a list or component that a block holds, and the size from which a component is large.
+#: Members of a list or group that a block holds, and the size from which a component or list is large.
 BLOCK, LARGE = 512, 64
 
 _RANDOM = np.random.default_rng(20240229)
@@ -100,16 +101,17 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (post, i, j, side, doc, c, large, n, sig, mask) sorted by (post, i, j), a group a pair of blocks of a list.
+    """Rows (post, i, j, side, doc, c, lead, n, sig, mask) sorted by (post, i, j), a group a pair of blocks of a list.
 
-    Out: (a, b, null) for documents to compare, (a, null, component) for one to compare with a component.
+    Out: (a, b, null) for documents to compare, and in lists with a lead component (a, null, lead) for
+    each document, outside it, of a pair to compare.
     """
     key, group = None, []
 
     def pairs() -> tuple[set, set]:
         cols = list(zip(*group, strict=True))
-        k = key[0] >> 32
-        side, doc, comp, large, n = (np.array(c) for c in cols[:5])
+        k, lead = key[0] >> 32, cols[3][0]
+        side, doc, comp, n = (np.array(cols[c]) for c in (0, 1, 2, 4))
         sig, mask = np.array(cols[5], np.int32), np.array(cols[6], np.int64)
         x = np.flatnonzero(side == 0)
         y = x if key[1] == key[2] else np.flatnonzero(side == 1)
@@ -127,13 +129,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 open_ &= ~(eq & ((mask[x] >> c & 1) == 1)[:, None] & ((mask[y] >> c & 1) == 1)[None])
         r, c = np.nonzero(open_ & (same >= MATCHES))
         r, c = x[r], y[c]
-        two, one = set(), set()
-        to_c, to_r = large[c], ~large[c] & large[r]
-        one.update(zip(doc[r[to_c]].tolist(), comp[c[to_c]].tolist(), strict=True))
-        one.update(zip(doc[c[to_r]].tolist(), comp[r[to_r]].tolist(), strict=True))
-        rest = ~to_c & ~to_r
-        two.update(zip(np.minimum(doc[r[rest]], doc[c[rest]]).tolist(), np.maximum(doc[r[rest]], doc[c[rest]]).tolist(), strict=True))
-        return two, one
+        if lead is not None:
+            some = np.unique(np.concatenate([r, c]))
+            return set(), {(int(doc[i]), lead) for i in some if comp[i] != lead}
+        return set(zip(np.minimum(doc[r], doc[c]).tolist(), np.maximum(doc[r], doc[c]).tolist(), strict=True)), set()
 
     def out() -> Iterator[pa.RecordBatch]:
         two, one = pairs() if len(group) > 1 else ((), ())
@@ -151,16 +150,20 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (c, block, ask, doc, set) sorted: a block's members (ask 0), then the documents held against them."""
-    key, docs, sets, every, owner = None, [], [], None, None
+    """Rows (c, block, ask, doc, home, set) sorted: a block's members (ask 0), then the documents held against them.
+
+    Out: for each of these a link to one member of each other component that it links with.
+    """
+    key, docs, homes, sets, every, owner = None, [], [], [], None, None
     for b in batches:
         left, right = [], []
-        for c, block, ask, doc, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
+        for c, block, ask, doc, home, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
             if (c, block) != key:
-                key, docs, sets, every = (c, block), [], [], None
+                key, docs, homes, sets, every = (c, block), [], [], [], None
             s = np.frombuffer(data, np.uint64)
             if not ask:
                 docs.append(doc)
+                homes.append(home)
                 sets.append(s)
                 continue
             if not docs:
@@ -171,9 +174,9 @@ def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.minimum(np.searchsorted(s, every), len(s) - 1)
             both = np.bincount(owner[s[at] == every], minlength=len(docs))
             hit = np.flatnonzero(100 * both >= PERCENT * (len(s) + size - both))
-            if len(hit):  # one link joins the components
+            for i in {homes[h]: h for h in hit if homes[h] != home}.values():
                 left.append(doc)
-                right.append(docs[hit[0]])
+                right.append(docs[i])
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["src", "dst"])
 
 
@@ -221,25 +224,31 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     pivot = lists.groupBy("post").agg(F.min("doc").alias("a"))
     first = linked(lists.join(pivot, "post").where("a <> doc").select("a", F.col("doc").alias("b")).distinct())
     parts_ = scratch.put(connected_components(first, scratch))
-    sizes = scratch.put(parts_.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE))
     homes = scratch.put(some.join(parts_, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("c")))
-    member = scratch.put(lists.join(homes, "doc").select("post", "doc", "c"))
-    mixed = scratch.put(member.groupBy("post").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("length")).where("lo < hi").select("post", "length"))
-    open_ = member.join(mixed, "post").withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("int"))
+    sizes = homes.groupBy("c").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE).select(F.col("c").alias("l"))
+    member = scratch.put(lists.join(homes, "doc").join(sizes, F.col("c") == F.col("l"), "left").select("post", "doc", "c", "l"))
+    # A list with a large component, or a long one, has a lead: its members go to the lead's group, not into pairs.
+    lead = F.coalesce(F.min("l"), F.when(F.count(F.lit(1)) >= LARGE, F.min("c")))
+    mixed = member.groupBy("post").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("length"), lead.alias("lead"))
+    mixed = scratch.put(mixed.where("lo < hi").select("post", F.ceil(F.col("length") / BLOCK).cast("int").alias("blocks"), "lead"))
     masks = lists.groupBy("doc").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(post, 32) as int)))").alias("mask"))
-    known = scratch.put(meta.join(masks, "doc").join(homes, "doc").join(sizes, F.col("c") == F.col("component"), "left").select("doc", F.col("component").isNotNull().alias("large"), "n", "sig", "mask"))
+    known = scratch.put(meta.join(masks, "doc").select("doc", "n", "sig", "mask"))
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("post", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc", "c")
-    blocks = dealt.join(known, "doc").select("post", "i", "j", "side", "doc", "c", "large", "n", "sig", "mask")
+    dealt = member.join(mixed, "post").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("post", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc", "c", "lead")
+    blocks = dealt.join(known, "doc").select("post", "i", "j", "side", "doc", "c", "lead", "n", "sig", "mask")
     met = scratch.put(blocks.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j").mapInArrow(_meet, "a long, b long, c long"))
     second = linked(met.where("b is not null").select("a", "b").distinct())
-    # Documents against whole components, a block of members at a time.
-    asked = met.where("c is not null").select("a", "c").distinct().join(sizes.withColumnRenamed("component", "c"), "c")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    asks = asked.select("c", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), "a").join(sets.withColumnRenamed("doc", "a"), "a").select("c", "block", F.lit(1).alias("ask"), F.col("a").alias("doc"), "set")
-    held = homes.join(sizes.withColumnRenamed("component", "c"), "c").select("c", F.pmod(F.xxhash64("doc"), n_blocks).cast("int").alias("block"), F.lit(0).alias("ask"), "doc").join(sets, "doc").select("c", "block", "ask", "doc", "set")
-    third = scratch.put(held.unionByName(asks).repartition("c", "block").sortWithinPartitions("c", "block", "ask").mapInArrow(_against, "src long, dst long"))
+    # A lead's group is its component and the documents that met it; these are held against the whole group.
+    asked = scratch.put(met.where("c is not null").select(F.col("c").alias("g"), F.col("a").alias("doc")).distinct())
+    leads = asked.select("g").distinct()
+    group = scratch.put(homes.join(leads, F.col("c") == F.col("g"), "left_semi").select(F.col("c").alias("g"), "doc").unionByName(asked))
+    n_blocks = scratch.put(group.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    held = group.join(n_blocks, "g").select("g", own.alias("block"), F.lit(0).alias("ask"), "doc")
+    asks = asked.join(n_blocks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("ask"), "doc")
+    full = held.unionByName(asks).join(homes.join(sets, "doc"), "doc").select("g", "block", "ask", "doc", "c", "set")
+    third = scratch.put(full.repartition("g", "block").sortWithinPartitions("g", "block", "ask").mapInArrow(_against, "src long, dst long"))
     # An id with several texts links their classes.
     several = named.groupBy("doc_id").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("doc_id")
     same_id = named.join(several, "doc_id", "left_semi").select("doc_id", "print").join(classes.select("print", "doc"), "print").select(F.col("doc_id").alias("src"), F.col("doc").alias("dst"))
@@ -248,7 +257,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     by_print = scratch.put(classes.join(component, F.col("doc") == F.col("node"), "left").select("print", F.coalesce("component", "doc").alias("component")))
     found = sketch.select("doc_id", F.col("n").alias("n_shingles"), "print").join(by_print, "print", "left")
     whole = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    scratch.drop(lists, some, sets, meta, parts_, sizes, homes, member, mixed, known, met, first, second, third, classes)
+    scratch.drop(lists, some, sets, meta, parts_, homes, member, mixed, known, met, first, second, third, classes, asked, group, n_blocks)
     return found.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
