@@ -62,7 +62,7 @@ def _is_heading(stripped: Column) -> Column:
     return stripped.startswith("#") | (stripped.startswith("**") & stripped.endswith("**"))
 
 
-def _fold(c: Column, state, step) -> Column:
+def _fold(c: Column, step) -> Column:
     """Lines kept by a fold; step(acc, line) gives struct(seen, kept)."""
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("kept"))
     return T.joined(F.aggregate(T.lines(c), start, step, lambda a: a["kept"]))
@@ -91,7 +91,7 @@ def dedup_lines(c: Column, recent: int = RECENT) -> Column:
         seen = F.when((low == "") | ~new, a["seen"]).otherwise(F.when(F.size(a["seen"]) + 1 > recent, none).otherwise(F.concat(a["seen"], F.array(low))))
         return F.struct(seen.alias("seen"), F.when(new, F.concat(a["kept"], F.array(x))).otherwise(a["kept"]).alias("kept"))
 
-    return _fold(c, None, step)
+    return _fold(c, step)
 
 
 def drop_empty_sections(c: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafwork import oracle as O
@@ -19,7 +19,6 @@ from sheafwork.plans import generate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-NL = " || chr(10) || "
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -258,7 +257,8 @@ scalar("valid_heading", "lined", {"valid": lambda t: F.size(F.filter(T.full_line
 scalar("paragraphs", "lined", {"n": lambda t: F.size(structure.paragraphs(t)), "joined": lambda t: T.joined(structure.paragraphs(t), "\n\n")}, {"n": f"len({O.paragraphs('t')})::INT", "joined": O.join(O.paragraphs("t"), "chr(10) || chr(10)")})
 scalar("looks_tabular", "tables", {"n": lambda t: F.size(F.filter(T.full_lines(t), structure.looks_tabular))}, {"n": f"len(list_filter({O.full('t')}, lambda x: {O.tabular('x')}))::INT"})
 scalar("heuristic_label", "lined", {"label": structure.heuristic_label, "of_last": lambda t: structure.heuristic_label(F.element_at(T.full_lines(t), -3))}, {"label": O.label("t"), "of_last": O.label(f"{O.full('t')}[-3]")})
-scalar("noise_normalize", "ocr", {"out": lambda t: structure.noise_normalize(first_line(t)), "candidate": lambda t: structure.noise_candidate(structure.noise_normalize(first_line(t)))}, {"out": O.noise_norm(FIRST.replace("(t", "(replace(t, chr(13), chr(10))").replace("t, chr(10)", "t, chr(10)") if False else f"{O.full('replace(t, chr(13), chr(10))')}[1]"), "candidate": O.noise_candidate(O.noise_norm(f"{O.full('replace(t, chr(13), chr(10))')}[1]"))})
+FIRST_CR = f"{O.full('replace(t, chr(13), chr(10))')}[1]"
+scalar("noise_normalize", "ocr", {"out": lambda t: structure.noise_normalize(first_line(t)), "candidate": lambda t: structure.noise_candidate(structure.noise_normalize(first_line(t)))}, {"out": O.noise_norm(FIRST_CR), "candidate": O.noise_candidate(O.noise_norm(FIRST_CR))})
 scalar("roman_items", "dense", {"items": lambda t: T.joined(structure.roman_items(t))}, {"items": O.join(f"list_transform(list_filter(regexp_extract_all(t, '(^|{O.EDGE})((?:{V.ROMAN})\\.\\s+[A-Z][A-Za-z’'' /&\\-]+)', 2), lambda x: x <> ''), lambda x: {O.strip('x')})")})
 scalar("numbered_items", "dense", {"n": lambda t: F.size(structure.numbered_items(t)), "items": lambda t: F.to_json(structure.numbered_items(t))}, None)
 scalar("key_values", "dense", {"n": lambda t: F.size(structure.key_values(F.concat(t, F.lit(" NAME: Ada L DATE OF BIRTH: 1815 PLACE: London")))), "fields": lambda t: F.to_json(structure.key_values(F.concat(t, F.lit(" NAME: Ada L DATE OF BIRTH: 1815 PLACE: London"))))}, None)
@@ -283,7 +283,6 @@ def section_labels(spark, sf_dir):
     return structure.section_labels(d.withColumn("paragraphs", F.array().cast("array<string>")))
 
 
-PAGES = f"'top' || {NL[4:]} 'Confidential page 1' || chr(10) || {BODY} || chr(10) || 'www.site.example' || chr(10) || '--- Page 2 ---' || chr(10) || 'Confidential page 2' || chr(10) || 'middle text' || chr(10) || 'www.site.example' || chr(12) || 'Confidential page 3' || chr(10) || 'end ' || doc_id".replace("||  'Conf", "|| 'Conf")
 PAGES = f"'Confidential page 1' || chr(10) || {BODY} || chr(10) || 'www.site.example' || chr(10) || '--- Page 2 ---' || chr(10) || 'Confidential page 2' || chr(10) || 'middle text' || chr(10) || 'www.site.example' || chr(12) || 'Confidential page 3' || chr(10) || 'end ' || doc_id"
 
 
@@ -319,7 +318,7 @@ _width = "list_max(list_transform(rows, lambda r: len(r)))"
 _pad = f"list_transform(rows, lambda r: list_concat(r, list_transform(range(0, {_width} - len(r)), lambda z: '')))"
 
 
-@query("table_markdown", f"WITH {TABLES} SELECT doc_id, tab, array_to_string(list_concat([{O.row('p[1]')}, {O.row(f'list_transform(range(0, w), lambda z: chr(45) || chr(45) || chr(45))')}], list_transform(p[2:], lambda r: {O.row('r')})), chr(10)) AS markdown FROM (SELECT doc_id, tab, {_pad} AS p, {_width} AS w FROM t)")
+@query("table_markdown", f"WITH {TABLES} SELECT doc_id, tab, array_to_string(list_concat([{O.row('p[1]')}, {O.row('list_transform(range(0, w), lambda z: chr(45) || chr(45) || chr(45))')}], list_transform(p[2:], lambda r: {O.row('r')})), chr(10)) AS markdown FROM (SELECT doc_id, tab, {_pad} AS p, {_width} AS w FROM t)")
 def table_markdown(spark, sf_dir):
     d = structure.text_tables(documents(spark, sf_dir, "tables"), "t")
     return d.select("doc_id", F.col("table").alias("tab"), chunks.table_markdown(F.col("rows")).alias("markdown"))
@@ -489,7 +488,7 @@ def workspace_counts(spark, sf_dir):
 
 # ---- 2.10 post-processing ----
 _wrap = [p.replace("NAME", postprocess.ASSISTANT) for p in [*V.WRAPPERS, *V.NAMED_WRAPPERS, *V.LATE_WRAPPERS]]
-_seen = f"row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) = 1"
+_seen = "row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) = 1"
 for _name, _f, _sql in [
     ("strip_wrappers", postprocess.strip_wrappers, O.wrappers("t", _wrap)), ("strip_resources", postprocess.strip_resources, O.resources("t", postprocess.resource_patterns())), ("strip_closings", postprocess.strip_closings, O.closings("t")),
     ("fix_markdown", postprocess.fix_markdown, O.rules("t", postprocess.MARKDOWN_RULES)), ("post_bullets", postprocess.post_bullets, O.rules("t", postprocess.BULLET_RULES)), ("broken_bullets", postprocess.broken_bullets, O.broken("t")),
