@@ -38,10 +38,10 @@ class Scratch:
         self.paths: dict[int, str] = {}
         atexit.register(self.clear)
 
-    def put(self, df: DataFrame, *, sort: str | None = None) -> DataFrame:
+    def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        (df.sortWithinPartitions(sort) if sort else df).write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._sheaf_keep = self

@@ -231,7 +231,7 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer_path: str, seq_len: int =
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     if hot:
         before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = dealt.groupBy("length", "salt").count().select(F.col("length").alias("l"), F.col("salt").alias("s"), F.coalesce(F.sum("count").over(before.partitionBy("length")), F.lit(0)).alias("o"))
+        offsets = dealt.groupBy("length", "salt").count().select(F.col("length").alias("l"), F.col("salt").alias("s"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("o"))
         ranked = ranked.join(offsets, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("rank", F.col("rank") + F.col("o"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
