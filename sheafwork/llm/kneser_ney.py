@@ -7,22 +7,43 @@ from dataclasses import dataclass
 import numpy as np
 
 ORDER = 5
-#: Bits of a character in a key; characters from the last code on share it.
-CHAR = 12
-LAST = (1 << CHAR) - 1
+#: Low bits of a character in a key, and the bits above them, which go to a second column.
+CHAR, HIGH = 12, 9
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def keys(text: str) -> np.ndarray:
-    """The ORDER-gram that ends at each character, packed; the text is preceded by line ends."""
-    c = np.minimum(np.frombuffer(("\n" * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32), LAST).astype(np.int64)
+def _packed(c: np.ndarray, bits: int) -> np.ndarray:
     n = len(c) - ORDER + 1
     out = np.zeros(n, np.int64)
     for i in range(ORDER):
-        out = out << CHAR | c[i : i + n]
+        out = out << bits | c[i : i + n]
     return out
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(("\n" * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def keys(text: str) -> np.ndarray:
+    """The low bits of the ORDER-gram that ends at each character, packed; the text is preceded by line ends."""
+    return _packed(_codes(text) & ((1 << CHAR) - 1), CHAR)
+
+
+def highs(text: str) -> np.ndarray | None:
+    """The high bits of the same ORDER-grams, or None where all are 0."""
+    c = _codes(text) >> CHAR
+    return _packed(c, HIGH) if c.any() else None
+
+
+def fold(low: np.ndarray, high: np.ndarray | None) -> np.ndarray:
+    """A non-negative number for each n-gram: its low bits where its high bits are 0, else a hash of 63 bits."""
+    if high is None:
+        return low
+    x = high.astype(np.uint64) * _MIX
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return ((low.astype(np.uint64) ^ x ^ (x >> np.uint64(32))) & np.uint64((1 << 63) - 1)).astype(np.int64)
+
+
 class Table:
     """A hash table of distinct non-negative keys; ``find`` gives a key's row or -1, for many at once."""
 
@@ -68,46 +89,53 @@ class Order:
 
 
 class Model:
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        """grams: distinct ORDER-gram keys with their counts in the trusted text."""
-        by = np.argsort(grams)
-        level = {ORDER: (grams[by], counts[by].astype(float))}
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, high: np.ndarray | None = None):
+        """grams: distinct ORDER-gram keys with their counts in the trusted text; high: their high bits."""
+        high = np.zeros(len(grams), np.int64) if high is None else high
+        # The base is even over the low codes where the trusted text has no others, else over all.
+        symbols = 1 << (CHAR + HIGH * bool(high.any()))
+        self.base = -np.log(symbols)
+        by = np.argsort(fold(grams, high))
+        level = {ORDER: (grams[by], high[by], counts[by].astype(float))}
         for n in range(ORDER - 1, 0, -1):
             # Below the top an n-gram counts the distinct characters before it.
-            k, c = np.unique(level[n + 1][0] & ((1 << CHAR * n) - 1), return_counts=True)
-            level[n] = (k, c.astype(float))
+            low, up = level[n + 1][0] & ((1 << CHAR * n) - 1), level[n + 1][1] & ((1 << HIGH * n) - 1)
+            _, one, c = np.unique(fold(low, up), return_index=True, return_counts=True)
+            level[n] = (low[one], up[one], c.astype(float))
         self.orders: dict[int, Order] = {}
         below = None
         for n in range(1, ORDER + 1):
-            k, c = level[n]
-            h, start = np.unique(k >> CHAR, return_index=True)
-            total = np.add.reduceat(c, start) if len(c) else c
+            k, up, c = level[n]
+            h, of = np.unique(fold(k >> CHAR, up >> HIGH), return_inverse=True)
+            total = np.bincount(of, c, len(h))
             many = [float((c == x).sum()) for x in (1, 2, 3, 4)]
             y = many[0] / max(1.0, many[0] + 2 * many[1])
             d = [min(x + 0.95, max(0.05, x + 1 - (x + 2) * y * many[x + 1] / max(1.0, many[x]))) for x in range(3)]
             cut = np.where(c == 1, d[0], np.where(c == 2, d[1], d[2]))
-            left = np.add.reduceat(cut, start) / total if len(c) else total
-            of = np.repeat(np.arange(len(h)), np.diff(np.append(start, len(k))))
-            low = np.full(len(k), 1.0 / (1 << CHAR)) if below is None else below[1][below[0].find(k & ((1 << CHAR * (n - 1)) - 1))]
+            left = np.bincount(of, cut, len(h)) / total
+            low = np.full(len(k), 1.0 / symbols) if below is None else below[1][below[0].find(fold(k & ((1 << CHAR * (n - 1)) - 1), up & ((1 << HIGH * (n - 1)) - 1)))]
             p = (c - cut) / total[of] + left[of] * low
-            grams_ = Table(k)
+            grams_ = Table(fold(k, up))
             self.orders[n] = Order(grams_, np.log(p), Table(h), np.log(left))
             below = (grams_, p)
 
-    def log_probability(self, k: np.ndarray) -> np.ndarray:
+    def log_probability(self, k: np.ndarray, high: np.ndarray | None = None) -> np.ndarray:
         """ln P(last character | those before it) of each key."""
         out, left = np.zeros(len(k)), np.arange(len(k))
         for n in range(ORDER, 0, -1):
             o = self.orders[n]
-            part = k[left] & ((1 << CHAR * n) - 1)
-            row = o.grams.find(part)
+            part, up = k[left] & ((1 << CHAR * n) - 1), None if high is None else high[left] & ((1 << HIGH * n) - 1)
+            row = o.grams.find(fold(part, up))
             seen = row >= 0
             out[left[seen]] += o.logp[row[seen]]
-            left, part = left[~seen], part[~seen]
+            left, part, up = left[~seen], part[~seen], None if up is None else up[~seen]
             if not len(left):
                 return out
-            h = o.histories.find(part >> CHAR)
+            h = o.histories.find(fold(part >> CHAR, None if up is None else up >> HIGH))
             if len(o.logb):
                 out[left] += np.where(h >= 0, o.logb[np.maximum(h, 0)], 0.0)
-        out[left] -= CHAR * np.log(2)
+        out[left] += self.base
         return out
+
+    def text_log_probability(self, text: str) -> np.ndarray:
+        return self.log_probability(keys(text), highs(text))

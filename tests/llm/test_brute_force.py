@@ -257,6 +257,31 @@ def test_kneser_ney():
     assert (t.find(k) == np.arange(len(k))).all() and (t.find(k + 1)[~np.isin(k + 1, k)] == -1).all()
 
 
+def test_kneser_ney_keeps_scripts():
+    pool = [chr(x) for x in range(0x4E00, 0x4E60)] + ["\U0001F600", "\u2019", "\u2014"]
+    text = "".join(R.choice(pool[:40]) + pool[40 + k % 50] for k in range(3000)) * 2
+    shuffled = "".join(R.sample(text, len(text)))
+    low, high = kneser_ney.keys(text), kneser_ney.highs(text)
+    _, one, n = np.unique(kneser_ney.fold(low, high), return_index=True, return_counts=True)
+    assert len(one) == len({("\n" * 4 + text)[i : i + 5] for i in range(len(text))})
+    m = kneser_ney.Model(low[one], n, high[one])
+    assert m.text_log_probability(text).mean() > m.text_log_probability(shuffled).mean() + 1
+    h = "\n" * 4 + text[:1]  # a history has a distribution over all characters
+    every = np.arange(1 << kneser_ney.CHAR + kneser_ney.HIGH)
+    ahead = [sum((ord(c) & 4095) << 12 * (4 - i) for i, c in enumerate(h[1:])), sum((ord(c) >> 12) << 9 * (4 - i) for i, c in enumerate(h[1:]))]
+    assert math.isclose(np.exp(m.log_probability(ahead[0] | every & 4095, ahead[1] | every >> 12)).sum(), 1.0, rel_tol=1e-9)
+
+
+def test_quality_in_chinese(spark):
+    pool = [chr(x) for x in range(0x4E00, 0x4F00)]
+    parts = ["".join(R.choice(pool) for _ in range(4)) for _ in range(60)]
+    good = [(i, "".join(R.choice(parts) for _ in range(80)), "zh") for i in range(300)]
+    junk = [(1000 + i, "".join(R.sample(good[i][1], len(good[i][1]))), "zh") for i in range(40)]
+    labels = [(i, 1, 0) for i in range(300)]
+    got = {r["doc_id"]: r["kept"] for r in quality.classify(spark.createDataFrame(good + junk, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), common.Scratch(spark, "t")).collect()}
+    assert not any(got[i] for i, *_ in junk) and sum(got[i] for i, *_ in good) >= 0.96 * len(good)
+
+
 def test_quality(spark):
     good = [(i, " ".join(words(R.randint(30, 200))), R.choice(["en", "de"])) for i in range(400)]
     bad = [(1000 + i, " ".join(w.upper() + "!!" for w in words(60)), "en") for i in range(30)]
