@@ -282,6 +282,18 @@ def test_quality_in_chinese(spark):
     assert not any(got[i] for i, *_ in junk) and sum(got[i] for i, *_ in good) >= 0.96 * len(good)
 
 
+def test_quality_of_a_rare_language(spark):
+    def noisy(share):
+        return " ".join("".join(R.choice("abcdefghijklmnop") for _ in w) if R.random() < share else w for w in words(150))
+
+    common_ = [(i, noisy(R.random() / 2), "en") for i in range(300)]
+    rare = [(1000 + i, noisy(0), "de") for i in range(40)]
+    junk = [(2000 + i, noisy(0.25), "de") for i in range(30)]
+    labels = [(i, 1, 0) for i, *_ in common_ + rare]
+    got = {r["doc_id"]: r["kept"] for r in quality.classify(spark.createDataFrame(common_ + rare + junk, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), common.Scratch(spark, "t")).collect()}
+    assert sum(got[i] for i, *_ in junk) <= 3 and sum(got[i] for i, *_ in rare) >= 36
+
+
 def test_quality(spark):
     good = [(i, " ".join(words(R.randint(30, 200))), R.choice(["en", "de"])) for i in range(400)]
     bad = [(1000 + i, " ".join(w.upper() + "!!" for w in words(60)), "en") for i in range(30)]
