@@ -18,8 +18,13 @@ LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier names with some certainty; their columns are unchanged."""
+    """Documents whose language the classifier names with some certainty; their columns are unchanged.
+
+    Where no row can be learned from, there is nothing to judge by: all texts with a letter stay.
+    """
     model = language.fit(docs, Scratch(spark, "language"))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return language.identify(docs, model).where((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
 
 

@@ -143,6 +143,14 @@ def test_top_k(spark, vectors):
     assert embeddings.top_k(vectors.where("false"), Scratch(spark, "t")).count() == 0
 
 
+def test_pipeline_without_labels(spark):
+    plain = spark.createDataFrame(DOCS, SCHEMA)
+    for d in (plain.withColumn("lang", F.lit(None).cast("string")), plain.withColumn("lang", F.when(language.held_out(F.col("doc_id")), F.lit("en")))):
+        got = corpus_pipeline.language_id(spark, d, "")
+        assert got.columns == d.columns
+        assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 1, 5, 6, 6]
+
+
 def test_pipeline_stages(spark, docs):
     plain = spark.createDataFrame(DOCS, SCHEMA)
     for table in (plain, plain.where("false")):
