@@ -32,7 +32,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, run: int = RUN, gram: int
     A text is known by its id and hash; rows equal in both are one text. Order is by id (null last),
     hash, line.
     """
-    arrays = F.transform(_lines(F.col(text)), lambda x, i: F.struct(F.regexp_count(x, F.lit(WORD)).alias("w"), F.xxhash64(F.regexp_replace(F.trim(x), r"[\x20\x09-\x0D]+", " ")).alias("h"), i.alias("pos")))
+    arrays = F.transform(_lines(F.col(text)), lambda x, i: F.struct(F.regexp_count(x, F.lit(WORD)).alias("w"), F.xxhash64(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " "))).alias("h"), i.alias("pos")))
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.filter(arrays, lambda x: x["w"] > 0).alias("l"))
     # One shuffle deals the texts; their lines stay where they are.
     lines = texts.groupBy("id", "hash").agg(F.first("l").alias("l")).select("id", "hash", F.inline("l"))

@@ -54,6 +54,13 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_line_dedup_edges_of_lines(spark):
+    passage = [" ".join(f"w{k}x{i}" for i in range(20)) for k in range(4)]
+    rows = [(1, "\n".join(passage)), (2, "\r\n".join(passage)), (3, "\n".join("\t" + x for x in passage)), (4, "\n".join(x.replace(" ", "\t ") + " \f" for x in passage))]
+    got = {r["doc_id"]: r for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
+    assert got[1]["_n_removed"] == 0 and all(got[i]["_n_removed"] == 4 and got[i]["text"] == "" for i in (2, 3, 4))
+
+
 def test_line_dedup(spark, docs, none):
     got = lines.line_dedup(docs, Scratch(spark, "t")).collect()
     assert len(got) == len(DOCS)
