@@ -26,8 +26,6 @@ from sheafwork.llm.common import Scratch, small_batches
 SEQ_LEN = 2048
 TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = 0
-#: At most so many patterns of three lengths are enumerated; the residual takes all that they miss.
-TRIPLES = 12_000
 #: Rows of one length that one task ranks.
 RANKED_ROWS = 100_000
 #: Words whose ids a Python worker remembers.
@@ -123,18 +121,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, key: st
 
 
 def patterns(seq_len: int, have: np.ndarray) -> list[tuple[int, ...]]:
-    """Patterns of two and three present lengths that fill a sequence, longest first. have[n]: count of length n."""
-    there = [int(n) for n in np.flatnonzero(have[: seq_len]) if n]
-    found = [(n, seq_len - n) for n in there if 2 * n >= seq_len and n < seq_len and have[seq_len - n]]
-    step = max(1, len(there) ** 2 // (6 * TRIPLES))
-    k = 0
-    for x, a in enumerate(there):
-        for b in there[: x + 1]:
-            c = seq_len - a - b
-            if 0 < c <= b and have[c]:
-                k += 1
-                if k % step == 0:
-                    found.append((a, b, c))
+    """All patterns of two and three present lengths that fill a sequence. have[n]: count of length n.
+
+    At most about seq_len ** 2 / 12 (350,000), whatever the data.
+    """
+    there = np.array([n for n in np.flatnonzero(have[:seq_len]) if n], np.int64)
+    found = [(n, seq_len - n) for n in there.tolist() if 2 * n >= seq_len and have[seq_len - n]]
+    for x, a in enumerate(there.tolist()):
+        b = there[: x + 1]
+        c = seq_len - a - b
+        fits = (c > 0) & (c <= b)
+        b, c = b[fits], c[fits]
+        there_too = have[c] > 0
+        found += [(a, *p) for p in zip(b[there_too].tolist(), c[there_too].tolist(), strict=True)]
     return found
 
 
@@ -142,11 +141,11 @@ def fit(have: np.ndarray, found: list[tuple[int, ...]], sweeps: int = 12) -> np.
     """Non-negative repeat counts x with A x near ``have`` in least squares, by coordinate descent from 0."""
     rest = have.astype(float).tolist()
     x = [0.0] * len(found)
+    squares = [sum(p.count(n) ** 2 for n in set(p)) for p in found]
     for _ in range(sweeps):
         moved = 0.0
         for j, p in enumerate(found):
-            square = sum(p.count(n) ** 2 for n in set(p))
-            d = max(-x[j], sum(rest[n] for n in p) / square)
+            d = max(-x[j], sum([rest[n] for n in p]) / squares[j])
             if d:
                 x[j] += d
                 for n in p:
@@ -166,7 +165,8 @@ def plan(have: np.ndarray, seq_len: int = SEQ_LEN) -> list[tuple[tuple[int, ...]
         left[seq_len] = 0
     found = patterns(seq_len, left)
     x = fit(left, found)
-    for j in np.argsort(-x, kind="stable"):
+    order = np.argsort(-x, kind="stable")
+    for j in order[x[order] >= 1].tolist():
         n = min([int(x[j]), *(int(left[m]) // found[j].count(m) for m in found[j])])
         if n > 0:
             out.append((found[j], n))

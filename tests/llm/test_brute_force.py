@@ -155,6 +155,12 @@ def test_packing(spark, monkeypatch):
     assert len(by_seq) <= -(-sum(map(len, ids.values())) // 2048) * 1.05 + 2
 
 
+def test_packing_knows_all_patterns():
+    found = packing.patterns(2048, np.ones(2049, np.int64))
+    assert all(sum(p) == 2048 for p in found) and len(set(found)) == len(found)
+    assert sum(len(p) == 3 for p in found) == round(2048**2 / 12) and sum(len(p) == 2 for p in found) == 1024
+
+
 def test_merges_equal_the_library():
     tok = Tokenizer.from_file(tokenizer_path())
     w = packing.WordTokenizer(tokenizer_path(), cached=50)
