@@ -31,7 +31,8 @@ def by_case(options: list[str], other: str = "''") -> str:
 
 
 BODY = "coalesce(text, '')"
-# Derived texts by what they trigger. Each holds the whole document.
+# Derived texts by what they trigger. Each holds the whole document, but for half of the emails, which are
+# a bare template (doc_id % 4 = 1) or empty (doc_id % 4 = 3).
 TEXTS = {
     "asked": f"{BODY} || ({by_case(["' What is this? Why so?'", "' agenda of the meeting'", "' chapter and definition'", "' invoice total'", "' explain, describe and prove'"])})",
     "ocr": f"({by_case(["'Page 3 of 9' || chr(10)", "'draft' || chr(10) || '7 / 12' || chr(10)", "'- 4 -' || chr(10)", "'CONFIDENTIAL' || chr(13)"])}) || {BODY} || chr(10) || '• first  point' || chr(10) || chr(10) || ' – second' || chr(9) || 'one' || chr(10) || chr(10) || chr(10) || chr(10) || 'ofthe plan inthe End.Of it,then what?!Now see:this wordcell camelCase ok... 10:30 v1.x e.g. done ######## x99 a7b'",

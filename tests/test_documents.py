@@ -62,6 +62,15 @@ def test_fields_and_items(spark):
     assert got == ["I. Alpha one", "XII. Beta"]
 
 
+def test_email_shells(spark):
+    shell, source = "Dear Recipient,\nRegards,\n[Your Name]", "First words of it. And then more."
+    texts = [shell, "", "one two three four five six seven eight", f"{shell}\none two three four five six seven eight"]
+    got = spark.createDataFrame([(i, t, source) for i, t in enumerate(texts)], "i int, t string, s string")
+    rows = got.select("i", formatting.email_shell(F.col("t")).alias("shell"), formatting.email_repair(F.col("t"), F.col("s")).alias("out")).orderBy("i").collect()
+    assert [r["shell"] for r in rows] == [True, True, False, False]
+    assert all(source in r["out"] for r in rows[:2]) and all("seven eight" in r["out"] for r in rows[2:])
+
+
 def test_page_noise(spark):
     d = spark.createDataFrame([(1, "homepage Page 3 text\n--- Page 1 ---\nPage 3\n--- Page 2 ---\nPage 4"), (2, "one page"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in structure.remove_page_noise(d).collect()}
