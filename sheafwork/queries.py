@@ -462,7 +462,7 @@ def structure_summary(spark, sf_dir):
 
 @query("provider_fallback")
 def provider_fallback(spark, sf_dir):
-    d = documents(spark, sf_dir, "prompted").select("doc_id", F.col("t").alias("prompt"), F.substring("t", 1, 400).alias("local_text"), F.lit("hosted answer").alias("hosted_text"))
+    d = documents(spark, sf_dir, "prompted").select("doc_id", F.col("t").alias("prompt"), F.col("t").alias("local_text"), F.lit("hosted answer").alias("hosted_text"))
     return generate.first_good(d).select("doc_id", "direct", "fell_back", "generated")
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sheafwork import queries
 from sheafwork.functions import text as T
 from sheafwork.operators import chunks, cleanup, extraction, formatting, postprocess, routing, structure, understand
 from sheafwork.plans import generate
@@ -160,6 +161,12 @@ def test_provider(spark):
     assert merged["summaries"] == 2 and merged["merged"].index("ONE") < merged["merged"].index("TWO")
 
 
+def test_provider_fallback_keeps_whole_answers(spark):
+    prompts = {r["doc_id"]: r["prompt"] for r in queries.documents(spark, SMALL, "prompted").select("doc_id", F.col("t").alias("prompt")).collect()}
+    local = [r for r in queries.QUERIES["provider_fallback"](spark, SMALL).collect() if not r["direct"] and not r["fell_back"]]
+    assert local and all(r["generated"] == prompts[r["doc_id"]] for r in local) and any(len(r["generated"]) > 400 for r in local)
+
+
 def test_token_budget(spark):
     d = spark.createDataFrame([("mcqs", 100, "x"), ("email_draft", 2000, "x"), ("none", 500, "hierarchical_summary"), ("mcqs", 9000, "hierarchical_summary")], "t string, n int, s string").coalesce(1)
     assert [r[0] for r in d.select(routing.token_budget(F.col("t"), F.col("n"), F.col("s"))).collect()] == [650, 1400, 1100, 1500]
