@@ -1,8 +1,9 @@
 """Byte-pair merges of many words at once in numpy, for tokenizers whose words end in a suffix.
 
 The merges are those of the tokenizer's own file. Words of plain Latin letters, digits and ASCII marks go
-this way; all others, and whatever looks like a special token, are left to the tokenizers library. Both
-give the same ids, as merges never cross the words that the tokenizer's own pattern finds.
+this way; all others, and whatever could hold one of the file's added tokens, are left to the tokenizers
+library. Both give the same ids, as merges never cross the words that the tokenizer's own pattern finds.
+``understood`` says whether a file has the rules that this holds for.
 """
 
 from __future__ import annotations
@@ -17,10 +18,39 @@ from sheafwork.llm.kneser_ney import Table
 #: Latin letters that are one code point in normal form C and whose lower case is one as well.
 LETTERS = "a-zA-ZÀ-ÖØ-öø-įĲ-ňŊ-ž"
 SIMPLE = re.compile(rf"[{LETTERS}0-9!-/:-@\[-`{{-~]+")
-# Fixed value: the tokenizer's own word pattern, for these characters.
+# The rules of a file that this module knows.
+RULES = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+#: The word pattern, for these characters.
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 
 
+def added(path: str) -> list[bytes]:
+    """The texts of the file's added tokens, which are found as they are written, before all else."""
+    return [t["content"].encode() for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
+
+
+def understood(path: str) -> bool:
+    """Whether words split at ASCII white space, lower-cased but for added tokens, have the ids of their text."""
+    file = json.load(open(path, encoding="utf-8"))
+    model = file["model"]
+    same = all(file.get(k) == v for k, v in RULES.items()) and all(model.get(k) == v for k, v in MODEL.items())
+    plain = all(not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) and not re.search(r"\s", t["content"]) for t in file["added_tokens"])
+    whole = all(c in model["vocab"] and c + (model["end_of_word_suffix"] or "") in model["vocab"] for c in byte_letters())
+    return same and plain and whole and bool(model["end_of_word_suffix"])
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable ones stand for themselves."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -87,6 +117,6 @@ def split(word: bytes) -> list[bytes] | None:
     if word[:-1].isalpha() and word[-1:] in b".,;:!?":
         return [word[:-1], word[-1:]]
     text = word.decode("utf-8")
-    if "<|" in text or not SIMPLE.fullmatch(text):
+    if not SIMPLE.fullmatch(text):
         return None
     return [w.encode() for w in WORD.findall(text.lower())]

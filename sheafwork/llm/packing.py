@@ -2,8 +2,8 @@
 
 Pattern packing by non-negative least squares (after Krell et al., "Efficient Sequence Packing without
 Cross-contamination", 2021): a histogram of piece lengths, patterns of two and three lengths that fill a
-sequence exactly, repeat counts fitted to the histogram, rounded down, and the residual histogram packed
-by best fit in decreasing length. Only the histogram (``seq_len`` counts) reaches the driver; pieces are
+sequence exactly, repeat counts fitted to the histogram, rounded, and the residual histogram packed by best
+fit in decreasing length. Only the histogram (``seq_len`` counts) reaches the driver; pieces are
 ranked within their length on the executors and find their place in the pattern table, whose size
 depends on ``seq_len`` and not on the data.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,23 +38,35 @@ class WordTokenizer:
     """Whole-text ids through a cache of words.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words
-    split at ASCII white space, joined. New words of a batch are merged together.
+    split at ASCII white space, joined. New words of a batch are merged together. It ignores case but in
+    its added tokens: a word with letters that could be one goes to the library as it is written. A file
+    of other rules than ``bpe`` knows goes to the library text by text.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.encode, self.cached = Tokenizer.from_file(path).encode_batch, cached
-        self.merges = bpe.Merges(path)
+        self.merges = bpe.Merges(path) if bpe.understood(path) else None
+        self.marks = [m.lower() for m in bpe.added(path)]
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
+    def marked(self, lower: bytes) -> bool:
+        return any(m in lower for m in self.marks)
+
+    def words(self, text: bytes) -> list[bytes]:
+        lower = text.lower()  # ASCII only
+        if not self.marked(lower):
+            return lower.split()
+        return [w if self.marked(w.lower()) else w.lower() for w in text.split()]
+
     def learn(self, new: list[bytes]) -> None:
         if len(self.known) > self.cached:
             self.known.clear()
         if len(self.parts) > self.cached:
             self.parts.clear()
-        split = {w: bpe.split(w) for w in new}
+        split = {w: None if self.marked(w.lower()) else bpe.split(w) for w in new}
         parts = self.parts
         fresh = list({p for ps in split.values() if ps for p in ps if p not in parts})
         if fresh:
@@ -70,14 +82,17 @@ class WordTokenizer:
 
     def all_ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Of each text in order, some megabytes of text at a time."""
+        if self.merges is None:
+            for t in texts:
+                yield np.array(self.encode([t.decode("utf-8")], add_special_tokens=False)[0].ids, "<u4").tobytes()
+            return
         at = 0
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (end == at or size + len(texts[end]) <= AT_ONCE):
                 size += len(texts[end])
                 end += 1
-            # ASCII only; the tokenizer ignores case.
-            words = [t.lower().split() for t in texts[at:end]]
+            words = [self.words(t) for t in texts[at:end]]
             new = set().union(*words).difference(self.known) if words else ()
             if new:
                 self.learn(list(new))
@@ -137,37 +152,59 @@ def patterns(seq_len: int, have: np.ndarray) -> list[tuple[int, ...]]:
     return found
 
 
-def fit(have: np.ndarray, found: list[tuple[int, ...]], sweeps: int = 12) -> np.ndarray:
-    """Non-negative repeat counts x with A x near ``have`` in least squares, by coordinate descent from 0."""
+def fit(have: np.ndarray, found: list[tuple[int, ...]], rounds: int = 5, sweeps: int = 4) -> np.ndarray:
+    """Non-negative repeat counts x with A x near ``have`` in least squares, by coordinate descent from 0.
+
+    A round is a sweep over all patterns, then up to ``sweeps`` over those in use. It ends early where no
+    pattern of a whole sweep moves by a quarter of a repeat, which rounding would hide.
+    """
     rest = have.astype(float).tolist()
     x = [0.0] * len(found)
     squares = [sum(p.count(n) ** 2 for n in set(p)) for p in found]
-    for _ in range(sweeps):
+
+    def sweep(some: Iterable[int]) -> float:
         moved = 0.0
-        for j, p in enumerate(found):
+        for j in some:
+            p = found[j]
             d = max(-x[j], sum([rest[n] for n in p]) / squares[j])
             if d:
                 x[j] += d
                 for n in p:
                     rest[n] -= d
                 moved = max(moved, abs(d))
-        if moved < 0.25:
+        return moved
+
+    for _ in range(rounds):
+        if sweep(range(len(found))) < 0.25:
             break
+        for _ in range(sweeps):
+            if sweep([j for j, v in enumerate(x) if v > 0]) < 0.05:
+                break
     return np.array(x)
 
 
 def plan(have: np.ndarray, seq_len: int = SEQ_LEN) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of a sequence, repeats)] that use each length n exactly have[n] times."""
+    """[(lengths of a sequence, repeats)] that use each length n exactly have[n] times.
+
+    Repeat counts are rounded to the nearest; as that may use up small lengths that the rest needs, a plan
+    with them rounded down is made as well, and one without patterns, which stands where few pieces leave
+    little to fit. That of the fewest sequences stands, of equal ones the first.
+    """
     left = have.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
-    if left[seq_len]:
-        out.append(((seq_len,), int(left[seq_len])))
-        left[seq_len] = 0
+    full = int(left[seq_len])
+    left[seq_len] = 0
     found = patterns(seq_len, left)
     x = fit(left, found)
+    plans = [rounded(left, found, x, up, seq_len) for up in (0.5, 0.0, -np.inf)]
+    return [((seq_len,), full)] * bool(full) + min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def rounded(have: np.ndarray, found: list[tuple[int, ...]], x: np.ndarray, up: float, seq_len: int) -> list[tuple[tuple[int, ...], int]]:
+    """The patterns as often as their counts, plus ``up`` and cut, and lengths allow; the rest by best fit."""
+    left, out = have.copy(), []
     order = np.argsort(-x, kind="stable")
-    for j in order[x[order] >= 1].tolist():
-        n = min([int(x[j]), *(int(left[m]) // found[j].count(m) for m in found[j])])
+    for j in order[x[order] + up >= 1].tolist():
+        n = min([int(x[j] + up), *(int(left[m]) // found[j].count(m) for m in found[j])])
         if n > 0:
             out.append((found[j], n))
             for m in found[j]:
