@@ -10,6 +10,7 @@ depends on ``seq_len`` and not on the data.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -33,14 +34,17 @@ CACHED_WORDS = 500_000
 #: Bytes of text whose new words are merged together.
 AT_ONCE = 4_000_000
 
+#: A capital and the first byte of a code point from 0x300 on, where combining marks begin.
+COMPOSED = re.compile(rb"[A-Z][\xcc-\xff]")
+
 
 class WordTokenizer:
     """Whole-text ids through a cache of words.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words
     split at ASCII white space, joined. New words of a batch are merged together. It ignores case but in
-    its added tokens: a word with letters that could be one goes to the library as it is written. A file
-    of other rules than ``bpe`` knows goes to the library text by text.
+    its added tokens and where a mark after a letter is composed first: such a word goes to the library as
+    it is written. A file of other rules than ``bpe`` knows goes to the library text by text.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -52,21 +56,22 @@ class WordTokenizer:
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
-    def marked(self, lower: bytes) -> bool:
-        return any(m in lower for m in self.marks)
+    def cased(self, text: bytes, lower: bytes) -> bool:
+        """Whether case may matter: a possible added token, or a capital before a character that may be a mark."""
+        return any(m in lower for m in self.marks) or not text.isascii() and bool(COMPOSED.search(text))
 
     def words(self, text: bytes) -> list[bytes]:
         lower = text.lower()  # ASCII only
-        if not self.marked(lower):
+        if not self.cased(text, lower):
             return lower.split()
-        return [w if self.marked(w.lower()) else w.lower() for w in text.split()]
+        return [w if self.cased(w, w.lower()) else w.lower() for w in text.split()]
 
     def learn(self, new: list[bytes]) -> None:
         if len(self.known) > self.cached:
             self.known.clear()
         if len(self.parts) > self.cached:
             self.parts.clear()
-        split = {w: None if self.marked(w.lower()) else bpe.split(w) for w in new}
+        split = {w: None if self.cased(w, w.lower()) else bpe.split(w) for w in new}
         parts = self.parts
         fresh = list({p for ps in split.values() if ps for p in ps if p not in parts})
         if fresh:

@@ -182,6 +182,7 @@ def test_merges_equal_the_library(tmp_path):
     some += [c for m in bpe.added(path) for c in cases(m.decode())]
     texts = ["".join(R.choice(some) for _ in range(R.randint(0, 9))) for _ in range(6000)]
     texts += ["".join(chr(R.choice([R.randrange(1, 0x250), R.randrange(0x20, 0x7F), R.randrange(0x300, 0x2100)])) for _ in range(R.randint(0, 30))) for _ in range(6000)]
+    texts += [a + b + c for a in "AEHJTWYhjtwyÉ" for b in ["\u030a", "\u0331", "\u0308", "\u030c", "\u0323\u030a", "\u0345"] for c in ["", "x", "Y\u030a"]]
     for t, got, e in zip(texts, w.all_ids([t.encode() for t in texts]), tok.encode_batch(texts, add_special_tokens=False), strict=True):
         assert got == np.array(e.ids, "<u4").tobytes(), t
     assert bpe.split(b"word") == [b"word"]
