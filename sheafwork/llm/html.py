@@ -1,15 +1,17 @@
 """Main text of web pages (op 1).
 
 Gradient-boosted trees over features of DOM nodes (tag, attribute tokens, depth, siblings, subtree text
-density, links, punctuation) give each block element a log odds of belonging to the article. Decoding is
-hierarchical: a kept node has kept ancestors only, and the best such choice over the whole tree is found
-exactly by one pass up and one down, so no descendant contradicts an ancestor. The trees are fitted here,
-on pages that ``make_page`` writes from a fixed seed (``TRAINING_PAGES`` of them).
+density, links, punctuation, controls) give each block element the chance that it belongs to the article
+if the element around it does. Decoding is hierarchical: the product of these chances down the tree is the
+chance that a node belongs, which no descendant has more of than its ancestor, so no choice contradicts
+another; keeping what has more than a half has the most expected right characters of all choices. The
+trees are fitted here, on pages that ``make_page`` writes from a fixed seed (``TRAINING_PAGES`` of them).
 """
 
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,12 +24,10 @@ from sheafwork.llm import trees
 from sheafwork.llm.common import small_batches
 from sheafwork.llm.dom import INLINE, RAW, Page, parse
 
-TRAINING_PAGES = 900
-#: Never text, whatever the trees say.
-NEVER = RAW | frozenset("head button select option input datalist object audio video map dialog".split())
-#: Beside the article by their meaning, unless one holds an article or main element, or is a form with at
-#: least half of the page's text (some pages wrap all in a form).
-BESIDE = frozenset("nav menu footer aside form".split())
+TRAINING_PAGES = 1200
+#: Not rendered as text, or the face of a control: never judged (nor are hidden elements).
+NEVER = RAW | frozenset("head button select option input datalist object audio video map dialog annotation annotation-xml rp".split())
+CONTROLS = frozenset("input select textarea button".split())
 
 # Attribute words by what they announce.
 WORDS = {
@@ -47,8 +47,6 @@ KINDS = list(WORDS)
 KIND_OF = {w: KINDS.index(k) for k in reversed(KINDS) for w in WORDS[k].split()}
 GROUPS = ["p", "h1 h2 h3 h4 h5 h6 hgroup", "li dt dd", "ul ol dl", "div center", "section", "article", "main", "nav menu search", "header", "footer", "aside", "form fieldset", "table tbody thead tfoot tr td th caption", "blockquote figure figcaption pre address details summary", "body html #root"]
 GROUP_OF = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
-N_OTHER = 13
-
 
 def own_node(tag: str, words: tuple[str, ...]) -> bool:
     """Inline elements belong to the block around them, unless their attributes announce something."""
@@ -59,87 +57,95 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """(a row for each judged node, the judged node of each node or -1 for what is never text, the judged nodes)."""
     nodes = page.nodes
     n = len(nodes)
-    home = np.full(n, -1)
-    held = np.array([x.chars for x in nodes])
-    holds = np.array([x.tag in ("article", "main") for x in nodes])
-    for i in range(n - 1, 0, -1):
-        held[nodes[i].parent] += held[i]
-        holds[nodes[i].parent] |= holds[i]
-    chars, links, stops, tags, paras = (np.zeros(n) for _ in range(5))
+    home, linked = [-1] * n, [False] * n
     for i, x in enumerate(nodes):
         if i and home[x.parent] < 0 or x.tag in NEVER or x.hidden:
             continue
-        if x.tag in BESIDE and not holds[i] and not (x.tag == "form" and 2 * held[i] >= held[0]):
-            continue
-        home[i] = i if i == 0 or own_node(x.tag, x.words) else home[x.parent]
+        own = i == 0 or own_node(x.tag, x.words)
+        home[i] = i if own else home[x.parent]
+        linked[i] = x.tag == "a" or not own and linked[x.parent]
     judged = [i for i in range(n) if home[i] == i]
-    direct = np.zeros(n)
+    direct, before, chars, links, stops, tags, paras, controls, heads = ([0] * n for _ in range(9))
+    main, first = [False] * n, [False] * n
+    # Text ahead of a node: runs and nodes both come in page order.
+    seen = upto = 0
     for i, t in page.runs:
         if i >= 0 and home[i] >= 0:
+            while upto <= i:
+                before[upto] = seen
+                upto += 1
             size = len(t.strip())
+            seen += size
             direct[home[i]] += size
             chars[i] += size
             stops[i] += sum(map(t.count, ".,;:?!"))
-            k = i
-            while k > 0 and k != home[i]:
-                if nodes[k].tag == "a":
-                    links[i] += size
-                    break
-                k = nodes[k].parent
+            if linked[i]:
+                links[i] += size
+    before[upto:] = [seen] * (n - upto)
     for i in range(n - 1, 0, -1):
+        up, tag = nodes[i].parent, nodes[i].tag
+        controls[i] += tag in CONTROLS
+        controls[up] += controls[i]
         if home[i] < 0:
             continue
-        up = nodes[i].parent
         tags[i] += 1
-        paras[i] += nodes[i].tag == "p"
-        for a in (chars, links, stops, tags, paras):
-            a[up] += a[i]
-    words = np.zeros((n, len(KINDS)))
-    above = np.zeros((n, len(KINDS)))
-    place = np.full((n, len(GROUPS)), 0.0)
-    inside = np.zeros((n, len(GROUPS)))
+        paras[i] += tag == "p"
+        heads[i] += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        main[i] |= tag in ("article", "main")
+        first[i] |= tag == "h1"
+        chars[up] += chars[i]
+        links[up] += links[i]
+        stops[up] += stops[i]
+        tags[up] += tags[i]
+        paras[up] += paras[i]
+        heads[up] += heads[i]
+        main[up] |= main[i]
+        first[up] |= first[i]
+    total = max(1, chars[0])
+    sibling, alike, repeated = [0] * n, [1] * n, [0] * n
+    for i, x in enumerate(nodes):
+        if x.children:
+            named = [(nodes[c].tag, nodes[c].words[:1]) for c in x.children]
+            count = Counter(named)
+            for k, c in enumerate(x.children):
+                sibling[c], alike[c] = k, count[named[k]]
+            repeated[i] = max((v for (t, w), v in count.items() if w or t in ("li", "article", "section")), default=0)
+    # What a node's attributes announce and its kind of tag, as bits; and those of the nodes above it.
+    words, place, above, inside, crowd, held, rows = [0] * n, [0] * n, [0] * n, [0] * n, [1] * n, [1.0] * n, []
     for i in judged:
         x = nodes[i]
         for w in x.words:
             if w in KIND_OF:
-                words[i, KIND_OF[w]] = 1
+                words[i] |= 1 << KIND_OF[w]
         if x.tag in GROUP_OF:
-            place[i, GROUP_OF[x.tag]] = 1
-        if i:
-            up = home[x.parent]
-            above[i] = np.maximum(above[up], words[up])
-            inside[i] = np.maximum(inside[up], place[up])
-    out = np.zeros((len(judged), N_OTHER + 2 * len(KINDS) + 2 * len(GROUPS)))
-    total = max(1.0, chars[0])
-    main = holds[0]
-    sibling = {c: (k, len(x.children)) for x in nodes for k, c in enumerate(x.children)}
-    for r, i in enumerate(judged):
-        k, many = sibling.get(i, (0, 1))
-        x = nodes[i]
-        out[r, :N_OTHER] = (
-            x.depth, np.log1p(direct[i]), np.log1p(chars[i]), chars[i] / total, chars[i] / (tags[i] + 1), links[i] / max(1.0, chars[i]),
-            stops[i] / max(1.0, chars[i]), np.log1p(paras[i]), k / max(1, many - 1), many, len(x.children), chars[nodes[i].parent] / total if i else 1.0, main,
-        )
-    out[:, N_OTHER:] = np.concatenate([words[judged], above[judged], place[judged], inside[judged]], 1)
-    return out, home, judged
+            place[i] = 1 << GROUP_OF[x.tag]
+        many = len(nodes[x.parent].children) if i else 1
+        up = home[x.parent] if i else 0
+        above[i], inside[i] = above[up] | words[up], inside[up] | place[up]
+        # The most repeated kind of element a node is in, and the share of text of the innermost article.
+        crowd[i] = max(crowd[up], alike[i] if x.tag not in ("p", "li", "tr", "td") else 1)
+        held[i] = chars[i] / total if x.tag in ("article", "main") else held[up]
+        c = chars[i]
+        rows.append((
+            min(x.depth, 40), direct[i], c, c / total, c / (tags[i] + 1), links[i] / max(1, c), stops[i] / max(1, c), paras[i],
+            sibling[i] / max(1, many - 1), many, len(x.children), chars[x.parent] / total if i else 1.0, main[0], main[i], first[i], first[0],
+            controls[i], heads[i], before[i] / total, alike[i], repeated[i], alike[up], repeated[up], crowd[i], held[i], c / max(1, chars[x.parent]) if i else 1.0,
+        ))
+    other = np.array(rows, np.float32)
+    for k in (1, 2, 7, 16, 17):
+        other[:, k] = np.log1p(other[:, k])
+    at = np.array(judged)
+    bits = [(np.array(a)[at][:, None] >> np.arange(size) & 1).astype(np.float32) for a, size in ((words, len(KINDS)), (above, len(KINDS)), (place, len(GROUPS)), (inside, len(GROUPS)))]
+    return np.concatenate([other, *bits], 1), np.array(home), judged
 
 
 def decode(page: Page, home: np.ndarray, judged: list[int], logits: np.ndarray) -> set[int]:
-    """The set of kept nodes, closed upwards, with the largest sum of weighted log odds."""
-    own = np.zeros(len(page.nodes))
-    for i, t in page.runs:
-        if i >= 0 and home[i] >= 0:
-            own[home[i]] += len(t.strip())
-    worth = dict(zip(judged, (logits * (0.5 + np.log1p(own[judged]))).tolist(), strict=True))
-    gain = dict(worth)
-    for i in reversed(judged):  # children come after their parents
-        if i and gain[i] > 0:
-            gain[int(home[page.nodes[i].parent])] += gain[i]
-    kept: set[int] = set()
-    for i in judged:
-        if gain[i] > 0 and (i == 0 or int(home[page.nodes[i].parent]) in kept):
-            kept.add(i)
-    return kept
+    """The nodes whose chance to be kept along with all around them is above a half."""
+    chance = dict(zip(judged, (1 / (1 + np.exp(-logits))).tolist(), strict=True))
+    chance[0] = 1.0  # the root is no element
+    for i in judged[1:]:  # children come after their parents
+        chance[i] *= chance[int(home[page.nodes[i].parent])]
+    return {i for i in judged if chance[i] > 0.5}
 
 
 def text_of(page: Page, home: np.ndarray, kept: set[int]) -> str:
@@ -207,6 +213,23 @@ class _Writer:
     def links(self, n: int, keep: bool = False, tag: str = "ul") -> str:
         return self.tag(tag, "".join(f'<li data-k={int(keep)}><a href="/{k}">{self.words(self.r.randint(1, 4))}</a></li>' for k in range(n)), keep)
 
+    def unknown(self) -> str:
+        """Attribute words that announce nothing."""
+        return "-".join("".join(self.r.choice("abcdeghijklmnopqrstuvwxyz") for _ in range(self.r.randint(1, 7))) for _ in range(self.r.randint(1, 2)))
+
+    def comments(self) -> str:
+        r = self.r
+        cls = r.choice(["comment", "reply", "response", "review", "", self.unknown(), "post"])
+        name = r.choice(["div", "li", "article", "section", "div"])
+        said = [lambda: self.p(False, 4, 80), lambda: self.p(False, 4, 80) + self.p(False, 2, 40), lambda: self.words(r.randint(2, 40))]
+        one = [self.tag(name, r.choice(["", self.tag("div", self.words(2), False), f"<b>{self.words(1)}</b>"]) + r.choice(said)(), False, cls) for _ in range(r.randint(1, 7))]
+        inner = "".join(one)
+        if name == "li" and r.random() < 0.5:
+            return inner
+        if r.random() < 0.3:
+            inner = self.tag("ol" if name == "li" else "div", inner, False, r.choice(["", "list", self.unknown()]))
+        return self.tag(r.choice(["h2", "h3", "h4", "div"]), self.words(r.randint(1, 3)), False) + inner
+
     def junk(self, kind: str) -> str:
         r = self.r
         cls = r.choice([*WORDS[kind].split(), ""]) if kind != "content" else ""
@@ -215,6 +238,9 @@ class _Writer:
         name = named[kind] if kind in named and (not cls or r.random() < 0.5) else r.choice(["div", "div", "section"])
         if name in ("div", "section") and not cls:
             cls = r.choice(WORDS[kind].split())
+        # What its tag or what it holds tells need not be told by a word.
+        if name not in ("div", "section") or kind in ("nav", "form", "comment", "share"):
+            cls = r.choice([cls, cls, cls, "", self.unknown()])
         if kind == "nav":
             inner = r.choice([self.links(r.randint(2, 9)), self.links(r.randint(2, 9)), f'{self.words(1)} <a href="/a">{self.words(1)}</a> <a href="/b">{self.words(2)}</a>'])
             if name == "nav" and r.random() < 0.15:
@@ -222,19 +248,30 @@ class _Writer:
         elif kind == "head":
             inner = r.choice([self.tag("div", self.words(2), False), self.tag("h1", self.words(3), False), ""]) + r.choice([self.links(4), self.tag("p", self.words(5), False), self.words(r.randint(1, 6))])
         elif kind == "foot":
-            inner = r.choice(["&copy; example.com &middot; " + self.words(6), self.p(False, 4, 25), self.links(5) + self.p(False, 4, 20)])
+            inner = r.choice(["&copy; example.com &middot; " + self.words(6), self.p(False, 4, 25), self.links(5) + self.p(False, 4, 20), self.p(False, 10, 60) + self.p(False, 10, 60)])
         elif kind == "side":
-            inner = self.tag(r.choice(["h2", "h3", "h4"]), self.words(2), False) + r.choice([self.links(5), self.p(False, 5, 40), "".join(self.p(False, 5, 30) for _ in range(3))])
+            cards = "".join(self.tag("article", self.tag("h3", f'<a href="/s">{self.words(4)}</a>', False) + self.p(False, 4, 20), False, r.choice(["", "card", "teaser"])) for _ in range(r.randint(2, 5)))
+            inner = self.tag(r.choice(["h2", "h3", "h4"]), self.words(2), False) + r.choice([self.links(5), self.p(False, 5, 40), "".join(self.p(False, 5, 30) for _ in range(3)), cards])
         elif kind == "form":
-            inner = f"<label>{self.words(2)}</label><input name=q>" + r.choice(["", self.p(False, 3, 15)]) + f"<button>{self.words(1)}</button>"
+            field_ = r.choice(["<input name=q>", "<input type=text><input type=email>", "<textarea>x</textarea>", "<select><option>a</option></select>"])
+            inner = r.choice(["", self.tag("h3", self.words(2), False)]) + f"<label>{self.words(2)}</label>{field_}" + r.choice(["", self.p(False, 3, 15), self.p(False, 10, 60) + self.p(False, 10, 60)]) + f"<button>{self.words(1)}</button>"
         elif kind == "comment":
-            inner = self.tag("h3", self.words(2), False) + "".join(self.tag(r.choice(["div", "li"]), self.p(False, 4, 80), False, r.choice(["comment", "reply", ""])) for _ in range(r.randint(1, 6)))
+            inner = self.comments()
+            if inner.startswith("<li"):
+                name, cls = r.choice(["ol", "ul"]), cls or r.choice(WORDS[kind].split())
         elif kind == "share":
             inner = self.links(3)
         else:
             inner = r.choice([self.words(r.randint(4, 60)), self.p(False, 4, 60), self.tag("div", self.words(12), False)])
         return self.tag(name, inner, False, cls)
 
+    def content_class(self) -> str:
+        """Mostly a word for content; also none, unknown ones, and ones that mislead."""
+        r = self.r
+        true = r.choice([*WORDS["content"].split(), "post-content", "entry-content", "main-content"])
+        wrong, more = (r.choice([w for k in KINDS if k not in ("content", "share") for w in WORDS[k].split()]) for _ in range(2))
+        return r.choice([true, true, true, true, self.unknown(), "", f"{wrong}-{true}", f"{true} {wrong}", f"{self.unknown()}-{wrong}", f"{self.unknown()}-{more} {wrong}", f"{more} {wrong}"])
+
     def article(self) -> str:
         r = self.r
         parts = []
@@ -266,16 +303,18 @@ class _Writer:
             body = self.tag("div", body, True, r.choice(["", "content", "text", "inner", "entry-content", "col"]))
         if r.random() < 0.2:
             body += self.junk(r.choice(["comment", "share", "foot", "meta"]))
-        cls = r.choice([*WORDS["content"].split(), "post-content", "entry-content", "main-content"])
-        return r.choice([self.tag("article", body, True), self.tag("article", body, True, cls), self.tag("main", body, True), self.tag("div", body, True, cls), self.tag("section", body, True, cls), self.tag("main", self.tag("article", body, True), True), body])
+        cls = self.content_class()
+        return r.choice([self.tag("article", body, True), self.tag("article", body, True, cls), self.tag("article", body, True, cls), self.tag("section", self.tag("div", body, True, cls), True, self.content_class()), self.tag("main", body, True), *[self.tag("div", body, True, cls)] * 3, self.tag("section", body, True, cls), self.tag("main", self.tag("article", body, True, r.choice(["", cls])) + r.choice(["", self.junk(r.choice(["comment", "side", "share", "nav"]))]), True), body])
 
     def page(self) -> str:
         r = self.r
         before = [self.junk(k) for k in ("head", "nav", "ad", "notice", "form", "nav", "side") if r.random() < 0.4]
         after = [self.junk(k) for k in ("comment", "side", "share", "ad", "foot", "notice", "nav") if r.random() < 0.4]
-        inner = "".join([*before, self.article(), *after])
+        inner = "".join([*before, self.article() if r.random() > 0.04 else "", *after])
         if r.random() < 0.4:
-            inner = self.tag("div", inner, True, r.choice(["", "wrapper", "container", "page", "site"]))
+            inner = self.tag("div", inner, True, r.choice(["", "wrapper", "container", "page", "site", self.unknown()]))
+        if r.random() < 0.06:
+            inner = self.tag("form", "<input type=hidden>" + inner, True)
         return f"<!DOCTYPE html><html data-k=1><head><title>{self.words(4)}</title><style>p{{}}</style></head><body data-k=1>{inner}</body></html>"
 
 
@@ -293,11 +332,12 @@ def model() -> trees.Forest:
         source = make_page(seed)
         marks = iter(int(m) for m in re.findall(r"data-k=(\d)", source))
         page = parse(source)
-        x, _, judged = features(page)
+        x, home, judged = features(page)
         # Marked elements come in page order, as do the nodes.
         marked = {i: next(marks) for i, n in enumerate(page.nodes) if n.tag in GROUP_OF and n.tag != "#root"}
         marked[0] = 1
-        known = [k for k, i in enumerate(judged) if i in marked]
+        # Only what stands in kept elements: the chances are conditional.
+        known = [k for k, i in enumerate(judged) if i and i in marked and marked.get(int(home[page.nodes[i].parent]))]
         xs.append(x[known])
         ys += [marked[judged[k]] for k in known]
         ws += (1 + 0.1 * x[known, 1]).tolist()
