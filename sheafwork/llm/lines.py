@@ -1,13 +1,14 @@
 """Line dedup by winnowing (op 10), in DataFrame functions only.
 
 Lines with words are hashed. A *gram* is the shortest run of lines from a line on with at least
-``gram`` words; in every *window*, the shortest run with at least ``run`` words, the least gram hash is
-its fingerprint (Schleimer, Wilkerson, Aiken: "Winnowing", 2003, with lengths in words). A run of
-``run`` words or more that two places share holds a whole window, so it has the same fingerprint at
-both. Places are joined on fingerprints; where a fingerprint meets another place, the match is
-extended to windows ahead (the shortest run of ``run`` words from a line on) and behind (the shortest
-that ends with a line). Windows seen earlier are deleted; their union is each repeated run, whole: a
-line of a shared run lies in a window ahead or behind that the run holds.
+``gram`` words; in every *window*, the shortest run with at least ``run`` words, the least gram (the first
+of equal ones) is its fingerprint (Schleimer, Wilkerson, Aiken: "Winnowing", 2003, with lengths in words).
+Only selected grams are posted, with their positions: a run of ``run`` words or more that two places share
+holds a whole window, so both places post the same gram there. Positions are joined on the gram. Where it
+meets another position, the match is extended from it to the windows that selected it, ahead (the
+shortest run of ``run`` words from a line on) and behind (the shortest that ends with a line); equal windows
+are verified by 128 bits of their own. Windows seen earlier are deleted; their union is each repeated
+run, whole, since each line of a shared run lies in a window ahead or behind that the run holds.
 """
 
 from __future__ import annotations
@@ -20,20 +21,19 @@ from sheafwork.llm.common import WORD, Scratch
 #: Words of a run that is deleted where it comes again; words of a gram. 2 * GRAM <= RUN guarantees
 #: that each gram of a window's first RUN - GRAM words ends inside the window.
 RUN, GRAM = 50, 25
+#: Parts that a fingerprint's posts, and a window's places, are dealt to, so that a hot one isn't one task's.
+SALTS = 8
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, run: int = RUN, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, hash, gone): the 0-based numbers of the lines to delete, for texts that have some.
-
-    A text is known by its id and hash; rows equal in both are one text. Order is by id (null last),
-    hash, line.
-    """
-    arrays = F.transform(_lines(F.col(text)), lambda x, i: F.struct(F.regexp_count(x, F.lit(WORD)).alias("w"), F.xxhash64(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " "))).alias("h"), i.alias("pos")))
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.filter(arrays, lambda x: x["w"] > 0).alias("l"))
+def posts(docs: DataFrame, run: int = RUN, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, hash, g, at, windows): the selected grams with their positions and the windows that selected them."""
+    line = F.transform(_lines(F.col(text)), lambda x, i: F.struct(F.regexp_count(x, F.lit(WORD)).alias("w"), F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")).alias("t"), i.alias("pos")))
+    hashed = F.transform(line, lambda x: F.struct(x["w"].alias("w"), F.xxhash64(x["t"]).alias("h"), F.xxhash64(F.lit(1), x["t"]).alias("h2"), x["pos"].alias("pos")))
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.filter(hashed, lambda x: x["w"] > 0).alias("l"))
     # One shuffle deals the texts; their lines stay where they are.
     lines = texts.groupBy("id", "hash").agg(F.first("l").alias("l")).select("id", "hash", F.inline("l"))
     own = Window.partitionBy("id", "hash")
@@ -41,40 +41,50 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, run: int = RUN, gram: int
     placed = lines.withColumn("after", F.sum(F.col("w").cast("long")).over(upto)).withColumn("before", F.col("after") - F.col("w"))
     # Words ahead of a line rise strictly, so ranges of them are runs of lines.
     ahead = own.orderBy("before")
-    behind = own.orderBy("after")
-
-    def span(width: int):
-        return ahead.rangeBetween(0, width - 1)
-
-    grams = (
-        placed.withColumn("g", F.when(F.sum("w").over(span(gram)) >= gram, F.xxhash64(F.collect_list("h").over(span(gram)))))
-        .withColumn("fw", F.sum("w").over(span(run)))
-        .withColumn("fkey", F.when(F.col("fw") >= run, F.xxhash64(F.collect_list("h").over(span(run)))))
-        .withColumn("fend", F.max("pos").over(span(run)))
-        .withColumn("fp", F.when(F.col("fkey").isNotNull(), F.min("g").over(ahead.rangeBetween(0, run - gram))))
-        .withColumn("bkey", F.when(F.sum("w").over(behind.rangeBetween(-(run - 1), 0)) >= run, F.xxhash64(F.collect_list("h").over(behind.rangeBetween(-(run - 1), 0)))))
-        .withColumn("bstart", F.min("pos").over(behind.rangeBetween(-(run - 1), 0)))
-        .withColumn("bfp", F.first("fp").over(behind.rangeBetween(-(run - 1), 0)))
-        # Is this line's gram the fingerprint of a window that reaches it?
-        .withColumn("picked", F.coalesce(F.array_contains(F.collect_set("fp").over(ahead.rangeBetween(-(run - gram), 0)), F.col("g")), F.lit(False)))
+    span, back = ahead.rangeBetween(0, run - 1), own.orderBy("after").rangeBetween(-(run - 1), 0)
+    selected = (
+        placed.withColumn("g", F.when(F.sum("w").over(ahead.rangeBetween(0, gram - 1)) >= gram, F.xxhash64(F.collect_list("h").over(ahead.rangeBetween(0, gram - 1)))))
+        .withColumn("whole", F.sum("w").over(span) >= run)
+        .withColumn("end", F.max("pos").over(span))
+        .withColumn("k1", F.when(F.col("whole"), F.xxhash64(F.collect_list("h").over(span))))
+        .withColumn("k2", F.when(F.col("whole"), F.xxhash64(F.collect_list("h2").over(span))))
+        # The window's fingerprint: its least gram, which ends inside it, and where that is.
+        .withColumn("fp", F.when(F.col("whole"), F.min(F.when(F.col("g").isNotNull(), F.struct("g", "pos"))).over(ahead.rangeBetween(0, run - gram))))
+        .withColumn("b_whole", F.sum("w").over(back) >= run)
+        .withColumn("b_start", F.min("pos").over(back))
+        .withColumn("b1", F.when(F.col("b_whole"), F.xxhash64(F.collect_list("h").over(back))))
+        .withColumn("b2", F.when(F.col("b_whole"), F.xxhash64(F.collect_list("h2").over(back))))
+        # A window behind holds the window ahead from its first line, and shares that one's fingerprint.
+        .withColumn("b_fp", F.when(F.col("b_whole"), F.first("fp").over(back)))
     )
-    grams = scratch.put(grams.select("id", "hash", "pos", "g", "fp", "fkey", "fend", "bkey", "bstart", "bfp", "picked"))
-    shared = grams.where("picked").groupBy(F.col("g").alias("s")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s")
-
-    ways = F.inline(
-        F.array(
-            F.struct(F.col("fp").alias("fp"), F.col("fkey").alias("k"), F.col("pos").alias("from"), F.col("fend").alias("to")),
-            F.struct(F.col("bfp").alias("fp"), F.col("bkey").alias("k"), F.col("bstart").alias("from"), F.col("pos").alias("to")),
-        )
+    ways = F.array(
+        F.struct(F.col("fp").alias("fp"), F.col("k1").alias("k1"), F.col("k2").alias("k2"), F.col("pos").alias("from"), F.col("end").alias("to")),
+        F.struct(F.col("b_fp").alias("fp"), F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.col("b_start").alias("from"), F.col("pos").alias("to")),
     )
-    windows = grams.select("id", "hash", ways).where("k is not null and fp is not null")
-    met = scratch.put(windows.join(shared, windows["fp"] == shared["s"], "left_semi").drop("fp"))
+    windows = selected.select("id", "hash", F.inline(F.filter(ways, lambda x: x["fp"].isNotNull())))
+    # A post is a selected position with the windows that selected it; the texts are dealt already.
+    return windows.groupBy("id", "hash", F.col("fp.g").alias("g"), F.col("fp.pos").alias("at")).agg(F.collect_set(F.struct("k1", "k2", "from", "to")).alias("windows"))
+
+
+def repeated_lines(docs: DataFrame, scratch: Scratch, run: int = RUN, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, hash, gone): the 0-based numbers of the lines to delete, for texts that have some.
+
+    A text is known by its id and hash; rows equal in both are one text. Order is by id (null last),
+    hash, line.
+    """
+    posted = scratch.put(posts(docs, run, gram, key, text))
+    salt = F.pmod(F.xxhash64("id", "hash"), F.lit(SALTS)).cast("int").alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    shared = posted.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", every)
+    met = posted.select("*", salt).join(shared.hint("merge"), ["g", "salt"], "left_semi").select("id", "hash", "g", "salt", F.inline("windows"))
+    met = scratch.put(met)
     place = F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("hash"), F.col("from"))
-    first = scratch.put(met.groupBy("k").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("k", "first"))
-    later = met.join(first, "k").where(place > F.col("first"))
+    same = ["g", "k1", "k2"]
+    first = met.groupBy(*same).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(*same, "first", every)
+    later = met.join(first.hint("merge"), [*same, "salt"]).where(place > F.col("first"))
     gone = later.select("id", "hash", F.explode(F.sequence("from", "to")).alias("pos")).groupBy("id", "hash").agg(F.collect_set("pos").alias("gone"))
     out = scratch.put(gone)
-    scratch.drop(grams, met, first)
+    scratch.drop(posted, met)
     return out
 
 
@@ -86,14 +96,17 @@ def line_dedup(docs: DataFrame, scratch: Scratch, run: int = RUN, gram: int = GR
     where they go as well. Repeated rows (same id and text) are one text and get the same result; rows of
     one id but different texts are different texts. Extra columns pass through.
     """
-    gone = repeated_lines(docs, scratch, run, gram, key, text).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "gone")
+    gone = repeated_lines(docs, scratch, run, gram, key, text)
+    # The row travels as one struct, so no name of its own can clash.
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("h"))
     # Always a merge join: what is broadcast on small inputs would be no measure of large ones.
-    joined = docs.withColumn("_h", F.xxhash64(text)).join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
-    lines = _lines(F.col(text))
+    joined = rows.join(gone.hint("merge"), F.col("key").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash")), "left")
+    t = F.col("row")[text]
+    lines = _lines(t)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    left = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.element_at(F.transform(F.array(lines), lambda l: F.array_join(F.transform(kept, lambda i: F.element_at(l, i + 1)), "\n")), 1))
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return joined.select(*[left.alias(c) if c == text else F.col(c) for c in docs.columns], n.alias("_n_lines"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("_n_removed"))
+    left = F.when(F.col("gone").isNull(), t).otherwise(F.element_at(F.transform(F.array(lines), lambda l: F.array_join(F.transform(kept, lambda i: F.element_at(l, i + 1)), "\n")), 1))
+    n = F.when(t.isNull(), F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return joined.select(*[(left if c == text else F.col("row")[c]).alias(c) for c in docs.columns], n.alias("_n_lines"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("_n_removed"))
 
 
 ORACLE = r"""

@@ -102,6 +102,25 @@ def test_line_dedup(spark):
         assert got[i]["text"] == want and got[i]["_n_removed"] == len(gone[i]), i
 
 
+def test_line_dedup_goes_by_its_fingerprints(spark, monkeypatch):
+    passage = [" ".join(words(12)) for _ in range(9)]
+    docs = [(i, "\n".join([f"own {i}", *passage[i % 3 :], f"end {i}"])) for i in range(1500)]  # one hot passage
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    posted = lines.posts(table).collect()
+    # Far fewer positions than lines are posted, and equal windows lie under equal fingerprints.
+    assert len(posted) < 0.5 * sum(t.count("\n") + 1 for _, t in docs)
+    under = defaultdict(set)
+    for r in posted:
+        for w in r["windows"]:
+            under[w["k1"], w["k2"]].add(r["g"])
+    assert all(len(g) == 1 for g in under.values())
+    got = {r["doc_id"]: r["_n_removed"] for r in lines.line_dedup(table, common.Scratch(spark, "t")).collect()}
+    assert [got[i] for i in range(6)] == [0, 8, 7, 9, 8, 7] and all(got[i] == 9 - i % 3 for i in range(3, 1500))
+    real = lines.posts
+    monkeypatch.setattr(lines, "posts", lambda *a, **k: real(*a, **k).withColumn("g", F.xxhash64("id", "at")))  # no fingerprint meets another
+    assert {r["_n_removed"] for r in lines.line_dedup(table, common.Scratch(spark, "t")).collect()} == {0}
+
+
 def secret_spans(t: str) -> tuple[list, list]:
     kinds = [("assign", secrets.ASSIGN, lambda m: len(m[2]) >= 12), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 16)]
     base = sorted((m.start(), k, name, m.end()) for k, (name, p, ok) in enumerate(kinds) for m in re.finditer(p, t, re.ASCII) if ok(m))
