@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, as the contracts define it: a maximal run without ASCII white space.
@@ -16,10 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and all runs on one machine (tests), one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = held or tempfile.mkdtemp(prefix="sheafwork-")
         if not held:
             spark.sparkContext.setCheckpointDir(base)
@@ -72,6 +74,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def wrapped(docs: DataFrame, *columns: str) -> DataFrame:
+    """Each row as one struct ``row``, beside the columns an operator reads, so that no other name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
+def unwrapped(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of the rows that ``wrapped`` made, with new values for some."""
+    return rows.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns])
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import WORD
+from sheafwork.llm.common import WORD, unwrapped, wrapped
 
 #: Key ranges of a source: the first hex digits of the key. A hot source spreads over 16**3 ranges.
 RANGE_DIGITS = 3
@@ -23,7 +23,8 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     Sources by code point, null last, weigh 1, 2, 3, repeating. A source's share of all sizes stops at
     ``max_epochs`` times its size; the excess goes to the others by weight until none is above. That
     is a water level: ordered by cap / weight, the sources below the level are a prefix. The windows
-    run over one row per source, never over documents. No size at all: every target is 0.
+    run over one row per source, never over documents, in one task: some tens of bytes a source, so they
+    bear some ten million sources. No size at all: every target is 0.
     """
     ranked = sizes.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1) % 3 + 1).withColumn("cap", F.col("source_size") * max_epochs)
     by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
@@ -68,12 +69,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: each row of ``docs`` as often as the mix takes it, the last part rounded to
     a whole document (or none), so that no text is cut. Rows of equal id and size share their parts; a
     document without words takes no room and stays once, except where its id is null."""
-    taken = mix(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("_t"), F.count(F.lit(1)).alias("_n"))
+    taken = mix(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("t"), F.count(F.lit(1)).alias("n"))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    rows = wrapped(docs, F.col("doc_id").alias("own_id"), size.alias("own_size"))
     # Always a merge join, as the texts are the large side at any scale.
-    out = docs.withColumn("_size", size).join(taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_s"), "_t", "_n").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_s")))
-    times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.round(F.col("_t") / (F.col("_n") * F.col("_size")))).cast("int")
-    return out.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    out = rows.join(taken.hint("merge"), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_size") == F.col("size")))
+    times = F.when(F.col("own_size") == 0, F.lit(1)).otherwise(F.round(F.col("t") / (F.col("n") * F.col("own_size")))).cast("int")
+    return unwrapped(out.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times))), docs.columns)
 
 
 ORACLE = r"""

@@ -158,13 +158,19 @@ def test_pipeline_without_labels(spark):
         assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 1, 5, 6, 6]
 
 
+CLASHING = ["gone", "_id", "_hash", "_n", "_t", "_s", "_h", "_size", "_copy", "_lang_pred", "_score", "_n_lines", "_n_removed", "row", "key", "id", "size", "copy", "doc", "kept", "own_id", "pos", "h"]
+
+
 def test_pipeline_stages(spark, docs):
     plain = spark.createDataFrame(DOCS, SCHEMA)
+    for k, c in enumerate(CLASHING):
+        plain = plain.withColumn(c, F.lit(k))
     for table in (plain, plain.where("false")):
         d = table
         for name, stage in corpus_pipeline.STAGES:
             got = stage(spark, d, "")
             if name != "pack":
                 assert got.columns == plain.columns
+                assert all(r[c] == k for r in got.collect() for k, c in enumerate(CLASHING))
             d = got
         d.count()
