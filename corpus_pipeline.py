@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheafwork.llm import language, lines, minhash, mixing, packing
-from sheafwork.llm.common import Scratch
+from sheafwork.llm.common import Scratch, unwrapped, wrapped
 from sheafwork.llm.queries import tokenizer_path
 
 #: A document whose language is less certain than this is rejected, as is one without a letter.
@@ -25,22 +25,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs, Scratch(spark, "language"))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return language.identify(docs, model).where((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    named = language.identify(wrapped(docs, "text"), model)
+    return unwrapped(named.where((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeated runs of lines; n_chars follows the text. A text that was repeated whole goes."""
-    out = lines.line_dedup(docs, Scratch(spark, "lines"))
+    out = lines.line_dedup(wrapped(docs, "doc_id", "text"), Scratch(spark, "lines"))
     out = out.where((F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    n_chars = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("row")["n_chars"]).cast("long")
+    return unwrapped(out, docs.columns, text=F.col("text"), n_chars=n_chars)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the least id (of several rows of it, one)."""
-    kept = minhash.near_duplicates(docs, Scratch(spark, "minhash")).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    named = docs.where("doc_id is not null").join(kept.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = minhash.near_duplicates(docs, Scratch(spark, "minhash")).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("row"))
+    rows = wrapped(docs, "doc_id")
+    named = rows.where("doc_id is not null").join(kept.hint("merge"), F.col("doc_id") == F.col("kept_id"), "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1")
+    return unwrapped(named.select("row").unionByName(rows.where("doc_id is null").select("row")), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
