@@ -61,4 +61,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extract, op2_embedding_dedup, op3_quality_classifier, op4_topk_search, op5_mix_sources, op6_language_id, op7_pack, op8_secret_scan, op9_minhash_dedup, op10_line_dedup)}
-ORACLES = {"op2_embedding_dedup": embeddings.DEDUP_ORACLE, "op4_topk_search": embeddings.TOPK_ORACLE, "op9_minhash_dedup": minhash.ORACLE, "op5_mix_sources": mixing.ORACLE, "op10_line_dedup": lines.ORACLE}
+ORACLES = {"op2_embedding_dedup": embeddings.DEDUP_ORACLE, "op4_topk_search": embeddings.TOPK_ORACLE, "op9_minhash_dedup": minhash.ORACLE, "op5_mix_sources": mixing.ORACLE, "op10_line_dedup": lines.ORACLE, "op8_secret_scan": secrets.ORACLE}
