@@ -275,13 +275,17 @@ def test_mixing(spark):
     assert all(abs(taken[s] - target[s]) < 1.0001 for s in order)
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SHARD_ROWS", 40)  # several shards, so foreign queries
+    audit: list = []
     g = np.random.default_rng(2)
     rows = []
     for i in range(700):
         v = g.normal(size=16) if i % 3 or not rows else np.array(rows[g.integers(len(rows))][1]) + g.normal(size=16) * g.choice([0, 0.02, 0.06, 0.1])
         rows.append((i, [float(np.float32(x)) for x in v], int(i % 4)))
-    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), common.Scratch(spark, "t")).collect()}
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), common.Scratch(spark, "t"), audit=audit).collect()}
+    (true, found), = audit
+    assert true > 100 and found >= 0.9 * true
     x = np.array([r[1] for r in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     lab = np.array([r[2] for r in rows])
@@ -304,6 +308,7 @@ def test_graph_recall():
 
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "RANGE_ROWS", 60)
+    monkeypatch.setattr(embeddings, "LEAST_RANGE", 60)
     g = np.random.default_rng(4)
     rows = [(int(i), [float(x) for x in np.round(g.normal(size=6), 1)]) for i in range(-100, 400)]  # rounded: many ties
     got = sorted(tuple(r) for r in embeddings.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), common.Scratch(spark, "t")).collect())

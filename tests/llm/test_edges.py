@@ -148,6 +148,17 @@ def test_top_k(spark, vectors):
     # 0 is [256, 0]; the zero vector takes part, null and non-finite ones don't; the short one is padded
     assert best == [(1, 1, 256 * 512), (2, 1, 256 * 512), (3, 2, 65536), (4, 7, 65536), (5, 8, 65536)]
     assert embeddings.top_k(vectors.where("false"), Scratch(spark, "t")).count() == 0
+    # Two rows of one id are two queries, and candidates of each other.
+    twins = spark.createDataFrame([(0, [1.0, 0.0]), (0, [5.0, 0.0]), (1, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in embeddings.top_k(twins, Scratch(spark, "t")).collect())
+    assert got == sorted([(0, 1, 0, 5 * 65536), (0, 2, 1, 2 * 65536), (0, 1, 1, 10 * 65536), (0, 2, 0, 5 * 65536)])
+
+
+def test_extreme_vectors(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e200, 1e200]), (4, [1e300, 1e300]), (5, [1.0, 1.0]), (6, [0.0, 1e-300])]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(table, Scratch(spark, "t")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6)}
 
 
 def test_pipeline_without_labels(spark):
