@@ -10,18 +10,31 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sheafwork.functions import text as T
 from sheafwork.operators import chunks, cleanup, formatting, postprocess, routing, structure
 
+HIERARCHICAL, SINGLE = "hierarchical_summary", "single_pass_generation"
+#: Tokens of a chunk's summary.
+CHUNK_BUDGET = 350
+
 
 class Provider(Protocol):
     name: str
 
     def generate(self, prompt: str, max_tokens: int) -> dict:
-        """{"text": str} or {"error_type": str, "error": str}"""
+        """{"text": str} or {"error_type": str, "error": str}; or it raises."""
+
+
+class ProviderError(Exception):
+    """A provider's refusal: its HTTP status, where there is one, tells a used-up quota from other errors."""
+
+    def __init__(self, message: str, status: int | None = None):
+        super().__init__(message)
+        self.status = status
 
 
 class Offline:
@@ -33,24 +46,62 @@ class Offline:
         return {"error_type": "provider_error", "error": "offline"}
 
 
-def ask(df: DataFrame, provider: type, prompt: str = "prompt", budget: str = "max_tokens") -> DataFrame:
-    """Adds provider, generated, error_type and error. The provider is made once for a Python task."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+class Extract:
+    """A stand-in that answers with the first words of the prompt's last paragraph, one for ten tokens."""
+
+    name = "extract"
+
+    def generate(self, prompt: str, max_tokens: int) -> dict:
+        return {"text": " ".join(prompt.rsplit("\n\n", 1)[-1].split()[: max_tokens // 10])}
+
+
+def outcome(provider: Provider, prompt: str, max_tokens: int) -> dict:
+    """One call as {"text"} or one of the five typed errors; an answer without text is one as well."""
+    try:
+        got = provider.generate(prompt, max_tokens)
+    except TimeoutError as e:
+        return {"error_type": "timeout", "error": str(e)}
+    except ProviderError as e:
+        return {"error_type": "quota_exceeded" if e.status == 429 else "provider_error", "error": str(e)}
+    except Exception as e:
+        return {"error_type": "unexpected_error", "error": str(e)}
+    if got.get("error_type") or (got.get("text") or "").strip():
+        return got
+    return {"error_type": "empty_provider_response", "error": "The provider gave no text"}
+
+
+def ask(df: DataFrame, provider: type, prompt: str = "prompt", budget: str = "max_tokens", prefix: str = "") -> DataFrame:
+    """Adds provider, generated, error_type and error, with ``prefix``. The provider is made once for a Python task.
+
+    A null prompt isn't asked: its row has nulls and no text.
+    """
+    names = [prefix + n for n in ("provider", "generated", "error_type", "error")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = provider()
         for pdf in batches:
-            got = []
-            for text, n in zip(pdf[prompt], pdf[budget], strict=True):
-                try:
-                    got.append(p.generate(text, int(n)))
-                except TimeoutError as e:
-                    got.append({"error_type": "timeout", "error": str(e)})
-                except Exception as e:
-                    got.append({"error_type": "unexpected_error", "error": str(e)})
-            yield pdf.assign(provider=p.name, generated=[(g.get("text") or "") for g in got], error_type=[g.get("error_type") for g in got], error=[g.get("error") for g in got])
+            asked = pdf[prompt].notna()
+            got = [outcome(p, t, int(n)) if yes else {} for t, n, yes in zip(pdf[prompt], pdf[budget], asked, strict=True)]
+            made = [[p.name if yes else None for yes in asked], [g.get("text") or "" for g in got], [g.get("error_type") for g in got], [g.get("error") for g in got]]
+            yield pdf.assign(**{n: pd.Series(c, index=pdf.index, dtype=object) for n, c in zip(names, made, strict=True)})
 
-    return df.mapInPandas(run, f"{fields}, provider string, generated string, error_type string, error string")
+    return df.mapInPandas(run, StructType([*df.schema.fields, *[StructField(n, StringType()) for n in names]]))
+
+
+def answer(df: DataFrame, local: type, hosted: type, prompt: str = "prompt", budget: str = "max_tokens") -> DataFrame:
+    """Adds provider, generated, error_type, error, direct and fell_back.
+
+    Large prompts go to the hosted provider directly; others to the local one first, and on where that fails
+    or answers poorly. Each provider sees only the prompts that are its own.
+    """
+    d = df.withColumn("direct", routing.route_large_prompt(F.col(prompt)))
+    d = ask(d.withColumn("_ask", F.when(~F.col("direct"), F.col(prompt))), local, "_ask", budget, "_l_")
+    failed = F.col("_l_error_type").isNotNull() | routing.low_quality_output(F.col("_l_generated"), F.col(prompt))
+    d = d.withColumn("fell_back", ~F.col("direct") & failed)
+    d = ask(d.withColumn("_ask", F.when(F.col("direct") | F.col("fell_back"), F.col(prompt))), hosted, "_ask", budget, "_h_")
+    names = ("provider", "generated", "error_type", "error")
+    one = [F.when(F.col("direct") | F.col("fell_back"), F.col(f"_h_{n}")).otherwise(F.col(f"_l_{n}")).alias(n) for n in names]
+    return d.select(*df.columns, *one, "direct", "fell_back")
 
 
 def first_good(df: DataFrame, prompt: str = "prompt") -> DataFrame:
@@ -67,20 +118,49 @@ def prepare(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return cleanup.normalize(d, "_cleaned", "final_text").drop("_cleaned")
 
 
-def hierarchical(selected: DataFrame, provider: type, key: str = "doc_id", budget: int = 350) -> DataFrame:
-    """(doc_id, merged): each chunk summarised, failures skipped, what is left joined in order for the merge prompt."""
-    asked = ask(selected.select(key, "pick", F.concat(F.lit("Summarise this part.\n\n"), "content").alias("prompt"), F.lit(budget).alias("max_tokens")), provider)
-    good = F.when((F.col("error_type").isNull()) & (T.strip(F.col("generated")) != ""), F.struct("pick", T.strip(F.col("generated")).alias("t")))
+def merged(selected: DataFrame, local: type, hosted: type, key: str = "doc_id") -> DataFrame:
+    """(doc_id, merged, summaries): each chunk summarised, failures skipped, the rest in order under their titles."""
+    prompts = selected.select(key, "pick", "title", routing.chunk_prompt(F.col("pick"), F.col("chunk_type"), F.col("title"), F.col("content")).alias("prompt"), F.lit(CHUNK_BUDGET).alias("max_tokens"))
+    asked = answer(prompts, local, hosted)
+    part = F.concat(F.lit("Chunk "), F.col("pick").cast("string"), F.lit("\nTitle: "), "title", F.lit("\nSummary:\n"), T.strip(F.col("generated")))
+    good = F.when(F.col("error_type").isNull() & (T.strip(F.col("generated")) != ""), F.struct("pick", part.alias("t"), T.n_words(F.col("generated")).alias("n")))
     d = asked.groupBy(key).agg(F.array_sort(F.collect_list(good)).alias("p"))
-    return d.select(key, T.joined(F.transform("p", lambda x: x["t"]), "\n\n").alias("merged"), F.size("p").alias("summaries"))
+    return d.select(key, T.joined(F.transform("p", lambda x: x["t"]), "\n\n").alias("merged"), F.size("p").alias("summaries"), F.aggregate("p", F.lit(0), lambda n, x: n + x["n"]).alias("summary_words"))
+
+
+def hierarchical(docs: DataFrame, selected: DataFrame, local: type = Offline, hosted: type = Offline, key: str = "doc_id") -> DataFrame:
+    """``docs`` (key, mode, task) with the merge prompt of their chunks' summaries and its answer.
+
+    The merge is asked even where no summary came. ``selected`` has key, pick, chunk_type, title, content
+    and limit_applied.
+    """
+    limited = selected.groupBy(key).agg(F.max("limit_applied").alias("limit_applied"), F.count(F.lit(1)).alias("chunks"))
+    d = docs.join(limited, key, "left").join(merged(selected, local, hosted, key), key, "left")
+    d = d.withColumn("merged", F.coalesce("merged", F.lit(""))).withColumn("summaries", F.coalesce("summaries", F.lit(0)))
+    d = d.withColumn("prompt", routing.merge_prompt(F.col("mode"), F.col("task"), F.coalesce("chunks", F.lit(0)), F.coalesce("limit_applied", F.lit(False)), F.col("merged")))
+    d = d.withColumn("max_tokens", routing.token_budget(F.col("task"), F.coalesce("summary_words", F.lit(0)), F.lit(HIERARCHICAL)))
+    return answer(d, local, hosted).drop("limit_applied", "summary_words")
+
+
+def finish(df: DataFrame, text: str = "final_text", mode: str = "mode", task: str = "task") -> DataFrame:
+    """What follows an answer (generated, error_type): the fallback where it failed, post-processing, formatting."""
+    failed = F.col("error_type").isNotNull() | (T.strip(F.col("generated")) == "")
+    d = df.withColumn("_r", F.when(failed, routing.fallback_output(F.col(text), F.col(mode), F.col(task))).otherwise(F.col("generated")))
+    d = postprocess.postprocess(d, "_r", "_answer").drop("_r", "original_length", "final_length", "steps")
+    return formatting.format_output(d, "_answer", task, text).drop("_answer")
+
+
+def single_pass(df: DataFrame, local: type = Offline, hosted: type = Offline, text: str = "final_text", mode: str = "mode", task: str = "task") -> DataFrame:
+    """Compact prompt, answer, fallback, post-processing and formatting of prepared texts."""
+    budget = routing.token_budget(F.col(task), T.n_words(F.col(text)), F.lit(SINGLE))
+    d = df.withColumn("prompt", routing.compact(F.col(mode), F.col(task), F.col(text))).withColumn("max_tokens", budget)
+    return finish(answer(d, local, hosted), text, mode, task).drop("prompt", "max_tokens")
 
 
 def generate_offline(df: DataFrame, text: str = "text", mode: str = "mode", task: str = "task", key: str = "doc_id") -> DataFrame:
     """The whole path where no provider answers: prepared text, fallback, post-processing, formatting."""
-    d = prepare(df, text, key)
-    d = d.withColumn("_r", routing.fallback_output(F.col("final_text"), F.col(mode), F.col(task)))
-    d = postprocess.postprocess(d, "_r", "_answer").drop("_r", "original_length", "final_length", "steps")
-    d = formatting.format_output(d, "_answer", task, "final_text").drop("_answer")
+    d = prepare(df, text, key).withColumn("generated", F.lit("")).withColumn("error_type", F.lit("provider_error"))
+    d = finish(d, "final_text", mode, task).drop("generated", "error_type")
     n = T.n_words(F.col("final_text"))
     return d.withColumn("generation_strategy", chunks.plan_strategy(F.lit(1), n)).withColumn("provider", F.lit("offline"))
 

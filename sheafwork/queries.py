@@ -258,8 +258,8 @@ scalar("valid_heading", "lined", {"valid": lambda t: F.size(F.filter(T.full_line
 scalar("paragraphs", "lined", {"n": lambda t: F.size(structure.paragraphs(t)), "joined": lambda t: T.joined(structure.paragraphs(t), "\n\n")}, {"n": f"len({O.paragraphs('t')})::INT", "joined": O.join(O.paragraphs("t"), "chr(10) || chr(10)")})
 scalar("looks_tabular", "tables", {"n": lambda t: F.size(F.filter(T.full_lines(t), structure.looks_tabular))}, {"n": f"len(list_filter({O.full('t')}, lambda x: {O.tabular('x')}))::INT"})
 scalar("heuristic_label", "lined", {"label": structure.heuristic_label, "of_last": lambda t: structure.heuristic_label(F.element_at(T.full_lines(t), -3))}, {"label": O.label("t"), "of_last": O.label(f"{O.full('t')}[-3]")})
-FIRST_CR = f"{O.full('replace(t, chr(13), chr(10))')}[1]"
-scalar("noise_normalize", "ocr", {"out": lambda t: structure.noise_normalize(first_line(t)), "candidate": lambda t: structure.noise_candidate(structure.noise_normalize(first_line(t)))}, {"out": O.noise_norm(FIRST_CR), "candidate": O.noise_candidate(O.noise_norm(FIRST_CR))})
+CR_LINES = O.full("replace(t, chr(13), chr(10))")
+scalar("noise_normalize", "ocr", {"out": lambda t: T.joined(F.transform(T.full_lines(t), structure.noise_normalize)), "candidates": lambda t: F.size(F.filter(F.transform(T.full_lines(t), structure.noise_normalize), structure.noise_candidate))}, {"out": O.join(f"list_transform({CR_LINES}, lambda x: {O.noise_norm('x')})"), "candidates": f"len(list_filter(list_transform({CR_LINES}, lambda x: {O.noise_norm('x')}), lambda y: {O.noise_candidate('y')}))::INT"})
 scalar("roman_items", "dense", {"items": lambda t: T.joined(structure.roman_items(t))}, {"items": O.join(f"list_transform(list_filter(regexp_extract_all(t, '(^|{O.EDGE})((?:{V.ROMAN})\\.\\s+[A-Z][A-Za-z’'' /&\\-]+)', 2), lambda x: x <> ''), lambda x: {O.strip('x')})")})
 scalar("numbered_items", "dense", {"n": lambda t: F.size(structure.numbered_items(t)), "items": lambda t: F.to_json(structure.numbered_items(t))}, None)
 scalar("key_values", "dense", {"n": lambda t: F.size(structure.key_values(F.concat(t, F.lit(" NAME: Ada L DATE OF BIRTH: 1815 PLACE: London")))), "fields": lambda t: F.to_json(structure.key_values(F.concat(t, F.lit(" NAME: Ada L DATE OF BIRTH: 1815 PLACE: London"))))}, None)
@@ -449,7 +449,14 @@ ERR = "CASE doc_id % 3 WHEN 0 THEN 'Daily Quota reached' WHEN 1 THEN '' ELSE NUL
 scalar("error_status", "asked", {"status": lambda t: routing.error_status(F.expr(ERR_TYPE), F.expr(ERR)), "error": lambda t: routing.error_text(F.expr(ERR), F.lit(None).cast("string"))}, {"status": f"CASE WHEN {ERR_TYPE} = 'quota_exceeded' OR contains(lower({ERR}), 'quota') THEN 429 WHEN {O.one_of(f'({ERR_TYPE})', V.RETRY_ERRORS)} THEN 503 ELSE 500 END", "error": f"coalesce(nullif({ERR}, ''), 'AI returned empty output')"})
 
 
-@query("chunk_summary")
+_note = "chr(10) || chr(10) || 'The plan or the token budget left out other parts of this document; speak of the parts above only.' || chr(10)"
+
+
+@query(
+    "chunk_summary",
+    f"""WITH {CHUNKS}, x AS (SELECT *, chr(10) || 'Chunk ' || rn || chr(10) || 'Chunk Type: ' || chunk_type || chr(10) || 'Title: ' || title || chr(10) || 'Source Index: ' || (section * 100000 + part - 1) || chr(10) || chr(10) || 'Content:' || chr(10) || substring(content, 1, 600) || chr(10) AS t FROM rk WHERE rn <= 8)
+    SELECT doc_id, string_agg(t, chr(10) ORDER BY rn) || CASE WHEN doc_id % 2 = 0 THEN {_note} ELSE '' END AS summary FROM x GROUP BY doc_id""",
+)
 def chunk_summary(spark, sf_dir):
     d = chunks.top_chunks(_ranked(spark, sf_dir)).withColumn("pick", F.col("rn")).withColumn("limit_applied", F.col("doc_id") % 2 == 0).withColumn("source_index", F.col("seq").cast("string"))
     return routing.chunk_summary(d)
@@ -460,12 +467,37 @@ def structure_summary(spark, sf_dir):
     return routing.structure_summary(structure.parse(documents(spark, sf_dir, "lined"), "t"))
 
 
-@query("provider_fallback")
+LARGE = f"({O.n_words('t')} > 2200 OR {O.any_('t', V.COMPLEX_FLAGS)} OR len(regexp_extract_all(lower(t), 'chunk\\s+[0-9]+')) >= 10)"
+
+
+@query("provider_fallback", f"SELECT doc_id, direct, NOT direct AND poor AS fell_back, CASE WHEN direct OR poor THEN 'hosted answer' ELSE t END AS generated FROM (SELECT doc_id, t, {LARGE} AS direct, {O.low_quality('t', 't')} AS poor FROM {sql_documents('prompted')})")
 def provider_fallback(spark, sf_dir):
     d = documents(spark, sf_dir, "prompted").select("doc_id", F.col("t").alias("prompt"), F.col("t").alias("local_text"), F.lit("hosted answer").alias("hosted_text"))
     return generate.first_good(d).select("doc_id", "direct", "fell_back", "generated")
 
 
+@query("generate_single")
+def generate_single(spark, sf_dir):
+    d = documents(spark, sf_dir, "lined").withColumn("mode", routing.validate_mode(F.col("mode"))).withColumn("final_text", F.col("t"))
+    return generate.single_pass(d, generate.Offline, generate.Extract).select("doc_id", "provider", "error_type", "direct", "fell_back", "generated", "title", "format", "markdown")
+
+
+_part = "'Chunk ' || pick || chr(10) || 'Title: ' || title || chr(10) || 'Summary:' || chr(10) || array_to_string(regexp_extract_all(content, '[^\\s]+')[:35], ' ')"
+_limited = "CASE WHEN doc_id % 2 = 0 THEN 'Parts of the document are missing; say so.' || chr(10) ELSE '' END"
+
+
+@query(
+    "generate_hierarchical",
+    f"""WITH {CHUNKS}, m AS ({_modes}), x AS (SELECT *, rn AS pick FROM rk WHERE rn <= 8), y AS (SELECT doc_id, count(*)::INT AS summaries, string_agg({_part}, chr(10) || chr(10) ORDER BY pick) AS merged FROM x GROUP BY doc_id)
+    SELECT m.doc_id, coalesce(summaries, 0)::INT AS summaries, 'Mode: ' || mode || chr(10) || 'Task: ' || task || chr(10) || 'Parts: ' || coalesce(summaries, 0) || chr(10) || CASE WHEN summaries IS NULL THEN '' ELSE {_limited.replace('doc_id', 'm.doc_id')} END
+      || 'Make one answer of these summaries, without repeating.' || chr(10) || chr(10) || coalesce(merged, '') AS prompt FROM m LEFT JOIN y ON m.doc_id = y.doc_id""",
+)
+def generate_hierarchical(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", routing.validate_mode(F.expr(MODE)).alias("mode"), F.expr(TASK).alias("task"))
+    picked = chunks.top_chunks(_ranked(spark, sf_dir)).select("doc_id", F.col("rn").alias("pick"), "chunk_type", "title", "content", (F.col("doc_id") % 2 == 0).alias("limit_applied"))
+    return generate.hierarchical(docs, picked, generate.Extract, generate.Extract).select("doc_id", "summaries", "prompt")
+
+
 # ---- 2.9 quotas (limits are low, as the events are sparse) ----
 @query("daily_quota", "SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day, n <= 3 AS admitted, CASE WHEN n <= 3 THEN 200 ELSE 429 END AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS n FROM events)")
 def daily_quota(spark, sf_dir):

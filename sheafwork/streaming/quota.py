@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sheafwork.operators.quota import DAILY_LIMIT, MINUTE_LIMIT
+from sheafwork.operators.quota import DAILY_LIMIT, MINUTE_LIMIT, utc_day
 
 WATERMARK = "10 minutes"
 
@@ -39,7 +39,8 @@ def daily_quota_stream(events: DataFrame, limit: int = DAILY_LIMIT) -> DataFrame
 
     Within a micro-batch requests count in order of time and id; across batches, in order of arrival.
     """
-    d = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", WATERMARK).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    d = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", WATERMARK)
+    d = d.withColumn("day", utc_day(d))
     return d.groupBy("user_id", "day").applyInPandasWithState(_admit(limit), "event_id long, user_id long, ts timestamp, day string, admitted boolean", "used int", "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -156,9 +156,56 @@ def test_provider(spark):
     d = spark.createDataFrame([(1, "abc", 2), (2, "fail", 9)], "doc_id long, prompt string, max_tokens int")
     got = {r["doc_id"]: r for r in generate.ask(d, Echo).collect()}
     assert got[1]["generated"] == "AB" and got[2]["error_type"] == "timeout"
-    parts = spark.createDataFrame([(1, 2, "two"), (1, 1, "one"), (1, 3, "fail")], "doc_id long, pick int, content string")
-    merged = generate.hierarchical(parts, Echo).first()
-    assert merged["summaries"] == 2 and merged["merged"].index("ONE") < merged["merged"].index("TWO")
+    docs = spark.createDataFrame([(1, "student", "mcqs"), (2, "general", "short_summary")], "doc_id long, mode string, task string")
+    parts = spark.createDataFrame([(1, 2, "two"), (1, 1, "one"), (1, 3, "fail")], "doc_id long, pick int, content string").select("*", F.lit("section").alias("chunk_type"), F.lit("T").alias("title"), F.lit(True).alias("limit_applied"))
+    got = {r["doc_id"]: r for r in generate.hierarchical(docs, parts, generate.Offline, Failing).collect()}
+    # The chunk that fails is skipped; the merge is asked even without summaries.
+    assert got[1]["summaries"] == 2 and got[1]["prompt"].endswith("Chunk 1\nTitle: T\nSummary:\none\n\nChunk 2\nTitle: T\nSummary:\ntwo")
+    assert "missing" in got[1]["prompt"] and got[2]["summaries"] == 0 and got[2]["fell_back"] and "missing" not in got[2]["prompt"]
+
+
+class Failing(generate.Extract):
+    def generate(self, prompt, max_tokens):
+        if prompt.endswith("fail"):
+            raise generate.ProviderError("no more", 429)
+        return super().generate(prompt, max_tokens)
+
+
+def test_outcomes():
+    class Once:
+        name = "once"
+
+        def __init__(self, what):
+            self.what = what
+
+        def generate(self, prompt, max_tokens):
+            if isinstance(self.what, Exception):
+                raise self.what
+            return {"text": self.what}
+
+    cases = [(TimeoutError(), "timeout"), (generate.ProviderError("x", 429), "quota_exceeded"), (generate.ProviderError("x", 502), "provider_error"), (ValueError(), "unexpected_error"), (" ", "empty_provider_response"), ("fine", None)]
+    assert [generate.outcome(Once(c), "p", 5).get("error_type") for c, _ in cases] == [e for _, e in cases]
+
+
+def test_answer_and_single_pass(spark):
+    long_ = "word " * 2300
+    d = spark.createDataFrame([(1, "short prompt"), (2, long_)], "doc_id long, prompt string").withColumn("max_tokens", F.lit(50))
+    got = {r["doc_id"]: r for r in generate.answer(d, generate.Extract, Echo).collect()}
+    assert (got[1]["provider"], got[1]["direct"], got[1]["fell_back"], got[1]["generated"]) == ("extract", False, False, "short prompt")
+    assert (got[2]["provider"], got[2]["direct"]) == ("echo", True)
+    assert {r["provider"] for r in generate.answer(d, generate.Offline, Echo).collect()} == {"echo"}
+    t = spark.createDataFrame([(1, "student", "short_summary", "Rivers carry water to the sea every day of the year.")], "doc_id long, mode string, task string, final_text string")
+    failed = generate.single_pass(t).first()
+    assert failed["error_type"] == "provider_error" and "Rivers carry water" in failed["markdown"]
+    fine = generate.single_pass(t, generate.Extract).first()
+    assert fine["error_type"] is None and fine["provider"] == "extract" and "Rivers carry water" in fine["markdown"]
+
+
+def test_prompts_by_mode(spark):
+    modes = ["student", "professional", "general", "other"]
+    d = spark.createDataFrame([(m,) for m in modes], "m string").coalesce(1)
+    got = [r[0] for r in d.select(routing.prompt(F.col("m"), F.lit("t"), F.lit("C"), F.lit("S"), F.lit("K"), F.lit("X"))).collect()]
+    assert all(routing.ASKS.get(m, routing.ASKS["general"]) in p and p.endswith("Content:\nX") for m, p in zip(modes, got, strict=True))
 
 
 def test_provider_fallback_keeps_whole_answers(spark):

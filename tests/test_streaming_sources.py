@@ -58,3 +58,17 @@ def test_files(spark, tmp_path):
     assert {r["path"].rsplit("/", 1)[1]: (r["kind"], r["status"]) for r in found.collect()} == {"a.txt": ("text", "ok"), "b.PDF": ("pdf", "ok"), "c.docx": ("unsupported", "unsupported")}
     pages = files.read_pages(found, {"text": files.PlainBytes, "pdf": Broken}).collect()
     assert sorted((r["engine"], r["page"], r["text"], r["error"] or "") for r in pages) == [("pdf", 0, "", "ValueError"), ("text", 1, "one", ""), ("text", 2, "two", ""), ("unsupported", 0, "", "unavailable")]
+
+
+def test_days_are_utc(spark):
+    rows = [(1, 7, "2024-01-01T23:30:00Z"), (2, 7, "2024-01-02T00:30:00Z")]
+    d = spark.createDataFrame(rows, "event_id long, user_id long, at string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Tokyo", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            e = d.withColumn("ts", F.to_timestamp("at"))
+            assert [r["day"] for r in quota.daily_quota(e).orderBy("event_id").collect()] == ["2024-01-01", "2024-01-02"]
+            assert sorted(r["day"] for r in quota.usage_counts(e).collect()) == ["2024-01-01", "2024-01-02"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
