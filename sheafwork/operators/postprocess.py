@@ -62,10 +62,10 @@ def _is_heading(stripped: Column) -> Column:
     return stripped.startswith("#") | (stripped.startswith("**") & stripped.endswith("**"))
 
 
-def _fold(c: Column, step) -> Column:
-    """Lines kept by a fold; step(acc, line) gives struct(seen, kept)."""
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("kept"))
-    return T.joined(F.aggregate(T.lines(c), start, step, lambda a: a["kept"]))
+def _without(lines: Column, gone: Column) -> Column:
+    """The lines whose 0-based numbers aren't in ``gone``, joined."""
+    every = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
+    return T.joined(F.transform(F.array_except(every, gone), lambda i: F.get(lines, i)))
 
 
 def heading_key(stripped: Column) -> Column:
@@ -73,25 +73,34 @@ def heading_key(stripped: Column) -> Column:
 
 
 def dedup_headings(c: Column) -> Column:
-    """The first of each heading text stays. First places come from one array, so no fold is needed."""
+    """The first of each heading text stays. Sorted by text and place, all but the first of equal ones go."""
     def kept(l: Column) -> Column:
-        keys = F.transform(l, lambda x: T.let(T.strip(x), lambda s: F.when(_is_heading(s), heading_key(s))))
-        return T.let(keys, lambda ks: T.joined(F.filter(l, lambda x, i: F.get(ks, i).isNull() | (F.array_position(ks, F.get(ks, i)) == i + 1))))
+        keys = F.transform(l, lambda x, i: T.let(T.strip(x), lambda s: F.struct(F.when(_is_heading(s), heading_key(s)).alias("k"), i.alias("i"))))
+        by_key = F.array_sort(F.filter(keys, lambda x: x["k"].isNotNull()))
+        return T.let(by_key, lambda s: _without(l, F.transform(F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1)["k"] == x["k"], F.lit(False))), lambda x: x["i"])))
 
     return T.let(T.lines(c), kept)
 
 
 def dedup_lines(c: Column, recent: int = RECENT) -> Column:
-    """Repeats (case-folded) of lines that aren't blank go; what was seen is forgotten after ``recent`` lines."""
+    """Repeats (case-folded) of lines that aren't blank go; what was seen is forgotten after ``recent`` lines.
+
+    The fold holds at most ``recent`` lines and the numbers of the repeats.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<int>").alias("gone"))
     none = F.array().cast("array<string>")
 
     def step(a: Column, x: Column) -> Column:
-        low = F.lower(T.strip(x))
+        low = x["low"]
         new = (low == "") | ~F.array_contains(a["seen"], low)
         seen = F.when((low == "") | ~new, a["seen"]).otherwise(F.when(F.size(a["seen"]) + 1 > recent, none).otherwise(F.concat(a["seen"], F.array(low))))
-        return F.struct(seen.alias("seen"), F.when(new, F.concat(a["kept"], F.array(x))).otherwise(a["kept"]).alias("kept"))
+        return F.struct(seen.alias("seen"), F.when(new, a["gone"]).otherwise(F.concat(a["gone"], F.array(x["i"]))).alias("gone"))
+
+    def kept(l: Column) -> Column:
+        numbered = F.transform(l, lambda x, i: F.struct(F.lower(T.strip(x)).alias("low"), i.alias("i")))
+        return _without(l, F.aggregate(numbered, start, step, lambda a: a["gone"]))
 
-    return _fold(c, step)
+    return T.let(T.lines(c), kept)
 
 
 def drop_empty_sections(c: Column) -> Column:
@@ -102,8 +111,7 @@ def drop_empty_sections(c: Column) -> Column:
         def rest(full: Column) -> Column:
             # Of the full lines, those that start a section without content.
             bad = F.filter(full, lambda s, k: s["s"].startswith("#") & F.coalesce(F.get(full, k + 1)["s"].startswith("#"), F.lit(True)))
-            every = F.when(F.size(l) > 0, F.sequence(F.lit(0), F.size(l) - 1)).otherwise(F.array().cast("array<int>"))
-            return T.joined(F.transform(F.array_except(every, F.transform(bad, lambda s: s["i"])), lambda i: F.get(l, i)))
+            return _without(l, F.transform(bad, lambda s: s["i"]))
 
         return T.let(places, rest)
 
