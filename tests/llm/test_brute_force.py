@@ -49,6 +49,16 @@ def test_connected_components(spark):
     assert got == components(ids, [e for e in edges if e[0] != e[1]])
 
 
+def plain_groups(docs):
+    """(each document's shingles, its component)."""
+    sets = {}
+    for i, t in docs:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    return sets, components(sets, links)
+
+
 @pytest.mark.parametrize("large", [64, 2])
 def test_minhash(spark, monkeypatch, large):
     monkeypatch.setattr(minhash, "LARGE", large)
@@ -64,24 +74,14 @@ def test_minhash(spark, monkeypatch, large):
     texts += [words(20) + passage for _ in range(30)]
     docs = [(i, " ".join(t).replace("a", "A") if i % 3 else " ".join(t)) for i, t in enumerate(texts)]
     got = {r["doc_id"]: r for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), common.Scratch(spark, "t")).collect()}
-    sets = {}
-    for i, t in docs:
-        w = t.lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
-    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
-    want = components(sets, links)
+    sets, want = plain_groups(docs)
     assert {i: r["component_id"] for i, r in got.items()} == want
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
     assert all(r["kept"] == (want[i] == i) for i, r in got.items())
 
 
-def test_line_dedup(spark):
-    long_ = [" ".join(words(R.randint(50, 80))) for _ in range(6)]
-    short = [" ".join(words(R.randint(1, 30))) for _ in range(40)]
-    docs = [(i, "\n".join(R.choice(long_ + short * 2 + ["", "  "]) for _ in range(R.randint(1, 14)))) for i in range(120)]
-    run = [short[k] for k in range(8)]
-    docs += [(200 + i, "\n".join([R.choice(short), *run, R.choice(short)])) for i in range(5)]
-    got = {r["doc_id"]: r for r in lines.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), common.Scratch(spark, "t")).collect()}
+def plain_lines(docs):
+    """The numbers of each document's lines that go."""
     # A line goes if some run of lines with words, of 50 words or more, that holds it came earlier.
     seen, gone = set(), defaultdict(set)
     for i, t in docs:
@@ -97,6 +97,17 @@ def test_line_dedup(spark):
                         gone[i].update(range(full[a][0], full[b][0] + 1))
                     own.append(key)
         seen.update(own)
+    return gone
+
+
+def test_line_dedup(spark):
+    long_ = [" ".join(words(R.randint(50, 80))) for _ in range(6)]
+    short = [" ".join(words(R.randint(1, 30))) for _ in range(40)]
+    docs = [(i, "\n".join(R.choice(long_ + short * 2 + ["", "  "]) for _ in range(R.randint(1, 14)))) for i in range(120)]
+    run = [short[k] for k in range(8)]
+    docs += [(200 + i, "\n".join([R.choice(short), *run, R.choice(short)])) for i in range(5)]
+    got = {r["doc_id"]: r for r in lines.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), common.Scratch(spark, "t")).collect()}
+    gone = plain_lines(docs)
     for i, t in docs:
         want = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
         assert got[i]["text"] == want and got[i]["_n_removed"] == len(gone[i]), i
@@ -412,3 +423,50 @@ def test_html_rules():
     x, home, judged = html.features(p)
     kept = html.decode(p, home, judged, html.model().logits(x))
     assert all(i == 0 or int(home[p.nodes[i].parent]) in kept for i in kept)
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage against a plain version of it, on what the stage before it kept."""
+    import corpus_pipeline
+
+    langs = {"xx": "aeiou bcd", "yy": "oeu stk", "zz": "ny lr"}
+    say = lambda name, n: " ".join("".join(R.choice(langs[name].replace(" ", "")) for _ in range(R.randint(2, 8))) for _ in range(n))
+    docs = []
+    for i in range(260):
+        name = R.choice(list(langs))
+        docs.append((i, "\n".join(say(name, R.randint(4, 30)) for _ in range(R.randint(1, 6))), name, R.choice("abc")))
+    passage = "\n".join(say("xx", 14) for _ in range(5))
+    docs += [(300 + i, f"{say('xx', 30)}\n{passage}\n{say('xx', 30)}", "xx", "a") for i in range(8)]
+    base = say("yy", 200).split()
+    docs += [(320 + i, " ".join(say("yy", 1) if R.random() < 0.01 else w for w in base), "yy", "b") for i in range(12)]
+    docs += [(340, "12 34 !!", "xx", "a"), (341, None, "xx", "c"), (342, docs[5][1], "xx", "c")]
+    table = spark.createDataFrame([(*d, len(d[1] or "")) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    at = table
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, at, "").write.parquet(path)
+        at = spark.read.parquet(path)
+        kept[name] = at.collect()
+    said = {r["doc_id"]: r["text"] for r in kept["language_id"]}
+    assert 340 not in said and 341 not in said and len(said) >= len(docs) - 12
+    assert all(said[i] == t for i, t, *_ in docs if i in said)
+    gone = plain_lines(sorted(said.items()))
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in said.items()}
+    want = {i: t for i, t in want.items() if not gone[i] or t.split()}
+    got = {r["doc_id"]: r for r in kept["line_dedup"]}
+    assert {i: r["text"] for i, r in got.items()} == want and all(r["n_chars"] == len(r["text"]) for r in got.values())
+    _, group = plain_groups(sorted(want.items()))
+    assert sorted(r["doc_id"] for r in kept["minhash_dedup"]) == sorted(i for i in want if group[i] == i)
+    assert sum(320 <= r["doc_id"] < 332 for r in kept["minhash_dedup"]) == 1
+    left = spark.read.parquet(str(tmp_path / "minhash_dedup"))
+    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(left).collect()}
+    times = Counter(r["doc_id"] for r in kept["mix_sources"])
+    assert all(abs(times[i] - t / n) <= 0.5 for i, (t, n) in taken.items() if n)
+    tok = Tokenizer.from_file(tokenizer_path())
+    length = {r["doc_id"]: len(tok.encode(r["text"], add_special_tokens=False).ids) + 1 for r in kept["mix_sources"]}
+    packed, room = Counter(), Counter()
+    for r in kept["pack"]:
+        packed[r["doc_id"]] += r["length"]
+        room[r["sequence_id"]] += r["length"]
+    assert packed == Counter({i: length[i] * n for i, n in times.items()}) and max(room.values()) <= 2048
