@@ -115,6 +115,7 @@ def is_bullet(line: Column) -> Column:
 
 # ---- items in running text ----
 
+# The patterns of items and fields.
 NUMBERED = rf"(?<!\d)(\d{{1,2}})\s+([A-Z][A-Za-z /&\-]{{3,60}})\s+[–-]\s+(.+?)(?=\s+{V.GUIDELINE}|\z)"
 ROMAN_ITEM = rf"\b(?:{V.ROMAN})\.\s+[A-Z][A-Za-z’' /&\-]+"
 KEY_VALUE = r"\b([A-Z][A-Z /-]{3,40})\s*:\s*([^:]{1,120})(?=\s+[A-Z][A-Z /-]{3,40}\s*:|\z)"
