@@ -297,7 +297,17 @@ def page_noise_lines(spark, sf_dir):
     return structure.repeated_noise(read(spark, sf_dir, "documents").select("doc_id", F.expr(PAGES).alias("t")), "t").select("doc_id", "noise", "n")
 
 
-@query("remove_page_noise")
+_break = "(?i)\\f|\\n\\s*---\\s*page\\s*[0-9]+\\s*---\\s*\\n"
+
+
+@query(
+    "remove_page_noise",
+    f"""WITH d AS (SELECT doc_id, {PAGES} AS t, string_split_regex({PAGES}, '{_break}') AS ps FROM documents), p AS (SELECT doc_id, unnest(ps) AS t, generate_subscripts(ps, 1) AS page FROM d),
+    f AS (SELECT doc_id, page, {O.full('t')} AS l FROM p), b AS (SELECT doc_id, page, list_concat(l[1:3], l[greatest(len(l) - 2, 1):]) AS e FROM f), e AS (SELECT doc_id, page, unnest(e) AS line, generate_subscripts(e, 1) AS i FROM b),
+    n AS (SELECT doc_id, page, i, {O.noise_norm('line')} AS noise FROM e), c AS (SELECT doc_id, noise, min({{'page': page, 'i': i}}) AS seen FROM n WHERE {O.noise_candidate('noise')} GROUP BY doc_id, noise HAVING count(*) >= 2),
+    g AS (SELECT doc_id, list(noise ORDER BY seen) AS noise FROM c GROUP BY doc_id), j AS (SELECT d.doc_id, t, len(ps) AS n, coalesce(noise, []) AS noise FROM d LEFT JOIN g ON d.doc_id = g.doc_id)
+    SELECT doc_id, array_to_string(noise, chr(10)) AS removed_noise, CASE WHEN n > 1 THEN {O.strip("regexp_replace(list_reduce(list_concat([t], noise), lambda acc, x: regexp_replace(acc, '(?i)' || regexp_escape(x), '', 'g')), '\\n{3,}', chr(10) || chr(10), 'g')")} ELSE t END AS cleaned_text FROM j""",
+)
 def remove_page_noise(spark, sf_dir):
     d = structure.remove_page_noise(read(spark, sf_dir, "documents").select("doc_id", F.expr(PAGES).alias("t")), "t")
     return d.select("doc_id", "cleaned_text", F.array_join("removed_noise", "\n").alias("removed_noise"))
@@ -537,7 +547,16 @@ scalar("drop_empty_sections", "answer", {"out": postprocess.drop_empty_sections}
 ORACLES["drop_empty_sections"] = f"WITH {ANSWER_LINES}, f AS (SELECT *, lead({O.strip('line')}) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM l WHERE {O.strip('line')} <> ''), b AS (SELECT doc_id, pos FROM f WHERE starts_with({O.strip('line')}, '#') AND (nxt IS NULL OR starts_with(nxt, '#'))) SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.pos), '') AS out FROM l ANTI JOIN b ON l.doc_id = b.doc_id AND l.pos = b.pos GROUP BY l.doc_id"
 
 
-@query("postprocess")
+STEPS = ["strip_wrappers", "strip_resources", "strip_closings", "fix_markdown", "post_bullets", "broken_bullets", "numbered_lists", "dedup_headings", "dedup_lines", "drop_empty_sections", "post_spacing"]
+
+
+def chained(text: str, steps: list[str]) -> str:
+    """The SQL of single steps over a derived text, each on what the one before it left: s0, s1, ..."""
+    first = f"s0 AS (SELECT doc_id, t AS out FROM {sql_documents(text)})"
+    return ", ".join([first, *[f"s{k + 1} AS ({ORACLES[n].replace(sql_documents(text), f'(SELECT doc_id, out AS t FROM s{k})')})" for k, n in enumerate(steps)]])
+
+
+@query("postprocess", f"WITH {chained('answer', STEPS)} SELECT s0.doc_id, e.out AS final_text, len(s0.out)::INT AS original_length, len(e.out)::INT AS final_length FROM s0 JOIN s{len(STEPS)} e ON s0.doc_id = e.doc_id")
 def postprocess_(spark, sf_dir):
     return postprocess.postprocess(documents(spark, sf_dir, "answer"), "t").select("doc_id", "final_text", "original_length", "final_length")
 
