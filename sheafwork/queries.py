@@ -85,7 +85,11 @@ def query(name: str, sql: str | None = None):
 int_ = lambda c: c.cast("int")
 
 # ---- 2.1 sources and sinks, 2.2 understanding ----
-scalar("src_text", "asked", {"extracted": T.strip, "source": lambda t: F.lit("plain_text"), "table_count": lambda t: F.lit(0)}, {"extracted": O.strip("t"), "source": "'plain_text'", "table_count": "0"})
+@query("src_text", f"SELECT doc_id, {O.strip('t')} AS extracted, 'plain_text' AS source, 0 AS table_count, len({O.words('t')})::INT AS word_count, 1.0::DOUBLE AS confidence FROM {sql_documents('asked')}")
+def src_text(spark, sf_dir):
+    return extraction.direct_text(documents(spark, sf_dir, "asked"), "t").select("doc_id", "extracted", "source", "table_count", "word_count", "confidence")
+
+
 scalar("looks_like_questions", "asked", {"is_questions": understand.looks_like_questions, "is_meeting": understand.looks_like_meeting}, {"is_questions": O.questions("t"), "is_meeting": O.meeting("t")})
 scalar("guess_document_type", "asked", {"document_type": understand.guess_document_type}, {"document_type": O.document_type("t")})
 
@@ -156,11 +160,11 @@ CONF = "CAST((doc_id % 10) / 10.0 AS DOUBLE)"
 
 @query(
     "quality_report",
-    f"""SELECT doc_id, word_count, noise_words, CASE WHEN conf >= 0.85 AND r <= 0.08 AND word_count >= 20 THEN 'high' WHEN conf >= 0.55 AND r <= 0.18 AND word_count >= 8 THEN 'medium' ELSE 'low' END AS label, conf < 0.6 AND r > 0.12 AS handwriting_experimental, preview
+    f"""SELECT doc_id, word_count, noise_words, r AS noise_ratio, CASE WHEN conf >= 0.85 AND r <= 0.08 AND word_count >= 20 THEN 'high' WHEN conf >= 0.55 AND r <= 0.18 AND word_count >= 8 THEN 'medium' ELSE 'low' END AS label, conf < 0.6 AND r > 0.12 AS handwriting_experimental, preview
     FROM (SELECT *, CASE WHEN word_count > 0 THEN round(noise_words::DOUBLE / word_count, 3) ELSE 1.0 END AS r FROM (SELECT doc_id, {CONF} AS conf, len({O.words('t')})::INT AS word_count, len(list_filter({O.words('t')}, lambda w: {O.noise_word('w')}))::INT AS noise_words, array_to_string({O.words('t')}[1:80], ' ') AS preview FROM {sql_documents('ocr')}))""",
 )
 def quality_report(spark, sf_dir):
-    return extraction.quality_report(documents(spark, sf_dir, "ocr"), "t", F.expr(CONF)).select("doc_id", "word_count", "noise_words", "label", "handwriting_experimental", "preview")
+    return extraction.quality_report(documents(spark, sf_dir, "ocr"), "t", F.expr(CONF)).select("doc_id", "word_count", "noise_words", "noise_ratio", "label", "handwriting_experimental", "preview")
 
 
 @query("layout_lines", "SELECT doc_id, string_agg(t, chr(10) ORDER BY round_even(y / 14, 0), x, seq) AS text FROM (SELECT conv_id AS doc_id, turn AS seq, ((turn * 37) % 100)::DOUBLE AS y, ((turn * 53) % 60)::DOUBLE AS x, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations) WHERE t <> '' GROUP BY doc_id")
@@ -587,7 +591,7 @@ _md = f"array_to_string(list_concat([{O.row('p[1]')}, {O.row('list_transform(ran
 scalar("ensure_table", "table_text", {"out": formatting.ensure_table}, None)
 ORACLES["ensure_table"] = f"SELECT doc_id, CASE WHEN {O.valid_table('t')} THEN {O.drop_blank('t')} WHEN len(rows) >= 2 THEN {_md} ELSE t END AS out FROM (SELECT doc_id, t, rows, {_filled} AS p FROM (SELECT doc_id, t, CASE WHEN len(rows) > 0 THEN rows ELSE {_items} END AS rows FROM ({_found})))"
 scalar("detect_format", "asked", {"format": lambda t: formatting.detect_format(F.col("task"))}, {"format": O.lookup("task", V.OUTPUT_FORMAT, O.q("general_output"))})
-scalar("extract_title", "markdown", {"title": lambda t: formatting.extract_title(F.concat(F.lit("**"), F.col("source")), F.array().cast("array<struct<heading:string>>"))}, {"title": f"substring({O.strip(O.rep(O.lines(O.strip(chr(39) + '**' + chr(39) + ' || source')) + '[1]', '[*#_`]', ''))}, 1, 120)"})
+scalar("extract_title", "markdown", {"title": lambda t: formatting.extract_title(F.concat(F.lit("**"), F.col("source")), F.filter(F.array(F.struct(F.concat(F.lit("Part "), F.col("doc_id").cast("string")).alias("heading"))), lambda x: F.col("doc_id") % 3 == 0))}, {"title": f"CASE WHEN doc_id % 3 = 0 THEN 'Part ' || doc_id ELSE substring({O.strip(O.rep(O.lines(O.strip(chr(39) + '**' + chr(39) + ' || source')) + '[1]', '[*#_`]', ''))}, 1, 120) END"})
 
 
 @query("extract_sections")
