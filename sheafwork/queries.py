@@ -594,16 +594,22 @@ scalar("detect_format", "asked", {"format": lambda t: formatting.detect_format(F
 scalar("extract_title", "markdown", {"title": lambda t: formatting.extract_title(F.concat(F.lit("**"), F.col("source")), F.filter(F.array(F.struct(F.concat(F.lit("Part "), F.col("doc_id").cast("string")).alias("heading"))), lambda x: F.col("doc_id") % 3 == 0))}, {"title": f"CASE WHEN doc_id % 3 = 0 THEN 'Part ' || doc_id ELSE substring({O.strip(O.rep(O.lines(O.strip(chr(39) + '**' + chr(39) + ' || source')) + '[1]', '[*#_`]', ''))}, 1, 120) END"})
 
 
-@query("extract_sections")
-def extract_sections(spark, sf_dir):
-    d = documents(spark, sf_dir, "markdown").select("doc_id", F.posexplode(formatting.extract_sections(formatting.clean_markdown(F.col("t")))).alias("i", "s"))
-    return d.select("doc_id", "i", "s.heading", "s.level", F.array_join("s.content", " ").alias("content"))
-
-
 _mlines = f"l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, {O.full('t')} AS ls FROM {sql_documents('markdown')}))"
 _hd = f"{O.strip(O.rep(O.rep(O.strip('hd'), r'^[#\s]+', ''), '[*_`]', ''))}"
 
 
+@query(
+    "extract_sections",
+    f"""WITH {_mlines}, m AS (SELECT doc_id, pos, line, regexp_extract(line, '^(#{{1,4}})\\s+(.+)$', 1) AS mk, CASE WHEN regexp_extract(line, '^(#{{1,4}})\\s+(.+)$', 1) <> '' THEN regexp_extract(line, '^(#{{1,4}})\\s+(.+)$', 2) ELSE regexp_extract(line, '^\\*\\*(.+?)\\*\\*$', 1) END AS hd FROM l),
+    h AS (SELECT doc_id, pos, line, mk, {_hd} AS heading FROM m), v AS (SELECT *, heading <> '' AND {O.n_words('heading')} <= 12 AND NOT {O.ends('heading', '.,;:')} AND NOT regexp_matches(heading, '^[0-9]+\\.\\s+[A-Z].*:') AS starts FROM h),
+    n AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM v), g AS (SELECT doc_id, sec, max(heading) FILTER (starts) AS heading, max(CASE WHEN mk <> '' THEN len(mk) ELSE 2 END) FILTER (starts) AS level, coalesce(string_agg(line, ' ' ORDER BY pos) FILTER (NOT starts), '') AS content, count(*) FILTER (NOT starts) AS n FROM n WHERE sec > 0 GROUP BY doc_id, sec)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1)::INT AS i, heading, level::INT AS level, content FROM g WHERE sec = 1 OR n > 0""",
+)
+def extract_sections(spark, sf_dir):
+    d = documents(spark, sf_dir, "markdown").select("doc_id", F.posexplode(formatting.extract_sections(F.col("t"))).alias("i", "s"))
+    return d.select("doc_id", "i", "s.heading", "s.level", F.array_join("s.content", " ").alias("content"))
+
+
 @query(
     "markdown_headings",
     f"""WITH {_mlines}, m AS (SELECT doc_id, pos, line, regexp_extract(line, '^(#{{1,4}})\\s+(.+)$', 1) AS mk, regexp_extract(line, '^(#{{1,4}})\\s+(.+)$', 2) AS hd FROM l), c AS (SELECT doc_id, pos, mk, {_hd} AS heading FROM m WHERE mk <> '')
