@@ -392,7 +392,10 @@ scalar("split_words", "lined", {"n": lambda t: F.size(chunks.split_words(t)), "l
 scalar("low_value", "lined", {"low": lambda t: chunks.low_value(F.element_at(T.full_lines(t), -1)), "kept": chunks.low_value}, {"low": O.low_value(f"{O.full('t')}[-1]"), "kept": O.low_value("t")})
 scalar("low_value_kv", "lined", {"low": lambda t: chunks.low_value_kv(F.lit("MARK"), F.concat(t, F.when(F.col("doc_id") % 2 == 0, " top-left corner").otherwise("")))}, {"low": O.any_("'MARK ' || t || CASE WHEN doc_id % 2 = 0 THEN ' top-left corner' ELSE '' END", V.LOW_VALUE_KEYS)})
 scalar("title_priority", "lined", {"priority": lambda t: chunks.title_priority(first_line(t)), "of_all": chunks.title_priority}, {"priority": O.priority(FIRST), "of_all": O.priority("t")})
-scalar("plain_chunks", "asked", {"n": lambda t: F.size(chunks.plain_chunks(t)), "first": lambda t: F.try_element_at(chunks.plain_chunks(t), F.lit(1))}, None)
+scalar("plain_chunks", "asked", {"n": lambda t: F.size(chunks.plain_chunks(t)), "chunks": lambda t: T.joined(chunks.plain_chunks(t))}, None)
+ORACLES["plain_chunks"] = f"""WITH RECURSIVE w AS (SELECT doc_id, s, i, {O.n_words('s')}::INT AS n FROM (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT doc_id, {O.sentences('t')} AS ss FROM {sql_documents('asked')}))),
+ r AS (SELECT doc_id, i, 1 AS chunk, n AS held FROM w WHERE i = 1 UNION ALL SELECT w.doc_id, w.i, CASE WHEN held >= {chunks.MAX_WORDS} THEN chunk + 1 ELSE chunk END, CASE WHEN held >= {chunks.MAX_WORDS} THEN n ELSE held + n END FROM r JOIN w ON w.doc_id = r.doc_id AND w.i = r.i + 1),
+ c AS (SELECT doc_id, chunk, string_agg(s, ' ' ORDER BY i) AS c FROM r JOIN w USING (doc_id, i) GROUP BY doc_id, chunk) SELECT doc_id, count(*)::INT AS n, string_agg({O.strip('c')}, chr(10) ORDER BY chunk) AS chunks FROM c GROUP BY doc_id"""
 scalar("plan_strategy", "asked", {"strategy": lambda t: chunks.plan_strategy(int_(F.col("doc_id") % 12), T.n_words(t)), "free": lambda t: chunks.budget(F.lit("free"), 12), "pro": lambda t: chunks.budget(F.lit(" Pro")), "premium": lambda t: chunks.budget(F.lit("premium"))}, {"strategy": f"CASE WHEN doc_id % 12 > 10 OR {O.n_words('t')} > 3520 THEN 'hierarchical_summary' ELSE 'single_pass_generation' END", "free": "8", "pro": "20", "premium": "40"})
 scalar("boost_terms", "asked", {"terms": lambda t: F.array_join(chunks.boost_terms(routing.validate_mode(F.col("mode")), F.col("task")), ",")}, {"terms": O.case([(f"{O.valid_mode('mode')} = {O.q(m)} AND task = {O.q(t)}", O.q(",".join(w))) for (m, t), w in V.BOOST.items() if t] + [(f"{O.valid_mode('mode')} = {O.q(m)}", O.q(",".join(w))) for (m, t), w in V.BOOST.items() if t is None], "''")})
 scalar("selected_count", "asked", {"n": lambda t: chunks.selected_count(F.col("doc_id") % 5 == 0, routing.validate_mode(F.col("mode")), F.col("task"))}, {"n": "CASE WHEN doc_id % 5 = 0 OR " + " OR ".join(f"({O.valid_mode('mode')} = {O.q(m)} AND {O.one_of('task', ts)})" for m, ts in V.EIGHT_CHUNK_TASKS.items()) + " THEN 8 ELSE 6 END"})
