@@ -435,6 +435,17 @@ def select_chunks(spark, sf_dir):
     return d.select("doc_id", "pick", "rn", "score", "title")
 
 
+@query(
+    "layout_chunks",
+    f"""WITH b AS (SELECT doc_id, idx, coalesce(type, 'unknown') AS type, {O.strip('text')} AS c FROM ({BLOCK}) b SEMI JOIN documents d ON d.doc_id = b.doc_id), k AS (SELECT doc_id, idx, type, unnest({O.split_words('c')}) AS content FROM b WHERE c <> '' AND NOT {O.low_value('c')})
+    SELECT doc_id, idx::VARCHAR AS source_index, type AS title, content, 80 AS priority FROM k""",
+)
+def layout_chunks(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir).withColumn("index", F.col("index").cast("int"))
+    parsed = structure.merge_layout(structure.parse(documents(spark, sf_dir, "lined"), "t"), blocks)
+    return chunks.chunk_table(chunks.priority_union(parsed)).where("chunk_type = 'layout_section'").select("doc_id", "source_index", "title", "content", "priority")
+
+
 @query("priority_union")
 def priority_union(spark, sf_dir):
     d = chunks.chunk_table(generate.parsed_chunks(documents(spark, sf_dir, "lined"), "t"))
