@@ -100,6 +100,20 @@ def plain_lines(docs):
     return gone
 
 
+def test_minhash_recall():
+    """Planted pairs of sets at similarity 0.75 to 0.80: how many share the coordinates that a candidate needs."""
+    g = np.random.default_rng(8)
+    met = []
+    for _ in range(3000):
+        n = int(g.integers(40, 400))
+        share = g.uniform(0.75, 0.8)
+        both = int(np.ceil(2 * n * share / (1 + share)))
+        a = g.integers(0, 2**63, 2 * n - both, dtype=np.uint64)
+        met.append(int((minhash.signature(np.unique(a[:n])) == minhash.signature(np.unique(a[n - both :]))).sum()))
+    assert min(met) >= minhash.MATCHES
+    assert np.mean(met) > 0.74 * minhash.COORDS
+
+
 def test_line_dedup(spark):
     long_ = [" ".join(words(R.randint(50, 80))) for _ in range(6)]
     short = [" ".join(words(R.randint(1, 30))) for _ in range(40)]
