@@ -187,6 +187,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     row each; rows of one id are one node, so an id with two texts links them. A null id is never linked:
     its component is null and it is kept. An empty table gives no rows; other columns are not read.
     """
+    # Merge joins throughout: Spark sizes a table by its compressed file and an exploded array as one value,
+    # so by its own choice it would build all posts (48 rows a document) in the driver to broadcast them.
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -196,68 +198,69 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
 
     posts = classes.select("doc", F.posexplode("sig").alias("k", "v")).select("doc", F.expr("shiftleft(cast(k as bigint), 32) + (cast(v as bigint) & 4294967295)").alias("post"))
     common = posts.groupBy("post").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    met = posts.join(common, "post")
+    met = posts.join(common.hint("merge"), "post")
     ranked = met.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "post"))).alias("p")).where(F.size("p") >= MATCHES)
     lists = scratch.put(ranked.select("doc", F.explode(F.expr(f"slice(p, 1, size(p) - {MATCHES - 1})")).alias("x")).select("x.post", "doc"))
     # What can't meet anything leaves before any set is made.
     some = scratch.put(lists.select("doc").distinct())
     picked = rows.where("doc_id is not null and text is not null").join(some.hint("merge"), F.col("doc_id") == F.col("doc"), "left_semi")
     sets = scratch.put(picked.mapInArrow(_sets, "doc long, set binary"))
-    meta = scratch.put(classes.join(some, "doc", "left_semi").select("doc", "n", "sig"))
+    meta = scratch.put(classes.join(some.hint("merge"), "doc", "left_semi").select("doc", "n", "sig"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that hold on signatures, lengths and full sets."""
         a, b = meta.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), meta.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
         equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
         fits = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (equal >= MATCHES)
-        hopeful = scratch.put(pairs.join(a, "a").join(b, "b").where(fits).select("a", "b").distinct())
+        hopeful = scratch.put(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(fits).select("a", "b").distinct())
         part = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("members") / PIVOT_SHARE)))
         shares = scratch.put(hopeful.groupBy("a").agg(F.count(F.lit(1)).alias("members")))
-        dealt = hopeful.join(shares, "a").select("a", part.alias("part"), "b")
-        members = dealt.join(sets.withColumnRenamed("doc", "b"), "b").select("a", "part", "b", "set")
-        pivots = shares.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(F.col("members") / PIVOT_SHARE)) - 1)).alias("part")).join(sets.withColumnRenamed("doc", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "set")
+        dealt = hopeful.join(shares.hint("merge"), "a").select("a", part.alias("part"), "b")
+        members = dealt.join(sets.withColumnRenamed("doc", "b").hint("merge"), "b").select("a", "part", "b", "set")
+        pivots = shares.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(F.col("members") / PIVOT_SHARE)) - 1)).alias("part")).join(sets.withColumnRenamed("doc", "a").hint("merge"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "set")
         together = members.unionByName(pivots).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
         out = scratch.put(together.mapInArrow(_confirm, "src long, dst long"))
         scratch.drop(hopeful, shares)
         return out
 
     pivot = lists.groupBy("post").agg(F.min("doc").alias("a"))
-    first = linked(lists.join(pivot, "post").where("a <> doc").select("a", F.col("doc").alias("b")).distinct())
+    first = linked(lists.join(pivot.hint("merge"), "post").where("a <> doc").select("a", F.col("doc").alias("b")).distinct())
     parts_ = scratch.put(connected_components(first, scratch))
-    homes = scratch.put(some.join(parts_, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("c")))
-    sizes = homes.groupBy("c").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE).select(F.col("c").alias("l"))
-    member = scratch.put(lists.join(homes, "doc").join(sizes, F.col("c") == F.col("l"), "left").select("post", "doc", "c", "l"))
+    homes = scratch.put(some.join(parts_.hint("merge"), F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("c")))
+    sizes = scratch.put(homes.groupBy("c").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE).select(F.col("c").alias("l")))
+    placed = scratch.put(homes.join(sizes.hint("merge"), F.col("c") == F.col("l"), "left").select("doc", "c", "l"))
+    member = scratch.put(lists.join(placed.hint("merge"), "doc").select("post", "doc", "c", "l"))
     # A list with a large component, or a long one, has a lead: its members go to the lead's group, not into pairs.
     lead = F.coalesce(F.min("l"), F.when(F.count(F.lit(1)) >= LARGE, F.min("c")))
     mixed = member.groupBy("post").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("length"), lead.alias("lead"))
     mixed = scratch.put(mixed.where("lo < hi").select("post", F.ceil(F.col("length") / BLOCK).cast("int").alias("blocks"), "lead"))
     masks = lists.groupBy("doc").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(post, 32) as int)))").alias("mask"))
-    known = scratch.put(meta.join(masks, "doc").select("doc", "n", "sig", "mask"))
+    known = scratch.put(meta.join(masks.hint("merge"), "doc").select("doc", "n", "sig", "mask"))
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    dealt = member.join(mixed, "post").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = member.join(mixed.hint("merge"), "post").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("post", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc", "c", "lead")
-    blocks = dealt.join(known, "doc").select("post", "i", "j", "side", "doc", "c", "lead", "n", "sig", "mask")
+    blocks = dealt.join(known.hint("merge"), "doc").select("post", "i", "j", "side", "doc", "c", "lead", "n", "sig", "mask")
     met = scratch.put(blocks.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j").mapInArrow(_meet, "a long, b long, c long"))
     second = linked(met.where("b is not null").select("a", "b").distinct())
     # A lead's group is its component and the documents that met it; these are held against the whole group.
     asked = scratch.put(met.where("c is not null").select(F.col("c").alias("g"), F.col("a").alias("doc")).distinct())
     leads = asked.select("g").distinct()
-    group = scratch.put(homes.join(leads, F.col("c") == F.col("g"), "left_semi").select(F.col("c").alias("g"), "doc").unionByName(asked))
+    group = scratch.put(homes.join(leads.hint("merge"), F.col("c") == F.col("g"), "left_semi").select(F.col("c").alias("g"), "doc").unionByName(asked))
     n_blocks = scratch.put(group.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    held = group.join(n_blocks, "g").select("g", own.alias("block"), F.lit(0).alias("ask"), "doc")
-    asks = asked.join(n_blocks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("ask"), "doc")
-    full = held.unionByName(asks).join(homes.join(sets, "doc"), "doc").select("g", "block", "ask", "doc", "c", "set")
+    held = group.join(n_blocks.hint("merge"), "g").select("g", own.alias("block"), F.lit(0).alias("ask"), "doc")
+    asks = asked.join(n_blocks.hint("merge"), "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("ask"), "doc")
+    full = held.unionByName(asks).join(homes.join(sets.hint("merge"), "doc").hint("merge"), "doc").select("g", "block", "ask", "doc", "c", "set")
     third = scratch.put(full.repartition("g", "block").sortWithinPartitions("g", "block", "ask").mapInArrow(_against, "src long, dst long"))
     # An id with several texts links their classes.
     several = named.groupBy("doc_id").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("doc_id")
-    same_id = named.join(several, "doc_id", "left_semi").select("doc_id", "print").join(classes.select("print", "doc"), "print").select(F.col("doc_id").alias("src"), F.col("doc").alias("dst"))
+    same_id = named.join(several.hint("merge"), "doc_id", "left_semi").select("doc_id", "print").join(classes.select("print", "doc").hint("merge"), "print").select(F.col("doc_id").alias("src"), F.col("doc").alias("dst"))
     component = scratch.put(connected_components(first.unionByName(second).unionByName(third).unionByName(same_id), scratch))
 
-    by_print = scratch.put(classes.join(component, F.col("doc") == F.col("node"), "left").select("print", F.coalesce("component", "doc").alias("component")))
-    found = sketch.select("doc_id", F.col("n").alias("n_shingles"), "print").join(by_print, "print", "left")
+    by_print = scratch.put(classes.join(component.hint("merge"), F.col("doc") == F.col("node"), "left").select("print", F.coalesce("component", "doc").alias("component")))
+    found = sketch.select("doc_id", F.col("n").alias("n_shingles"), "print").join(by_print.hint("merge"), "print", "left")
     whole = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    scratch.drop(lists, some, sets, meta, parts_, homes, member, mixed, known, met, first, second, third, classes, asked, group, n_blocks)
+    scratch.drop(lists, some, sets, meta, parts_, homes, sizes, placed, member, mixed, known, met, first, second, third, classes, asked, group, n_blocks)
     return found.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 

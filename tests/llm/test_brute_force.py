@@ -80,6 +80,30 @@ def test_minhash(spark, monkeypatch, large):
     assert all(r["kept"] == (want[i] == i) for i, r in got.items())
 
 
+def plans_of(spark, run) -> list[str]:
+    """The plans of all that ``run`` executes, as they ended."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = {x.executionId() for x in map(store.executionsList().apply, range(store.executionsList().size()))}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList()
+    return [x.physicalPlanDescription() for x in map(ran.apply, range(ran.size())) if x.executionId() not in before]
+
+
+def copies(spark):
+    texts = [w for _ in range(30) for b in [words(60)] for w in (b, near(b, 0.02), near(b, 0.02))]
+    return spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def test_pipeline_near_duplicates_build_no_posts_in_the_driver(spark):
+    import corpus_pipeline
+
+    plans = plans_of(spark, lambda: corpus_pipeline.minhash_dedup(spark, copies(spark), "").count())
+    posts = [p for p in plans if "posexplode" in p]
+    assert posts and not any("Broadcast" in p for p in posts)
+
+
 def plain_lines(docs):
     """The numbers of each document's lines that go."""
     # A line goes if some run of lines with words, of 50 words or more, that holds it came earlier.
