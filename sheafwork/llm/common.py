@@ -93,17 +93,18 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Alternates large-star and small-star (Kiveris et al., "Connected Components in MapReduce and
     Beyond", 2014) until the edges stand still. Each round is written to the shared folder. No round
-    makes more edges than it had, so a hub costs its degree and not the square of it.
+    makes more edges than it had, so a hub costs its degree and not the square of it. The joins are
+    merge joins: no table of nodes is built in the driver.
     """
 
     def stars(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         # Large star: neighbours above a node go to the least of its neighbourhood.
-        large = both.where("dst > src").join(low, "src").select(F.col("dst").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("dst > src").join(low.hint("merge"), "src").select(F.col("dst").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: what is not above a node goes to the least of it.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("src"), F.col("m").alias("dst"))
+        hung = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("src"), F.col("m").alias("dst"))
         return hung.unionByName(least.select(F.col("u").alias("src"), F.col("m").alias("dst"))).distinct()
 
     def mark(e: DataFrame) -> tuple:

@@ -104,6 +104,11 @@ def test_pipeline_near_duplicates_build_no_posts_in_the_driver(spark):
     assert posts and not any("Broadcast" in p for p in posts)
 
 
+def test_near_duplicates_broadcast_nothing(spark):
+    plans = plans_of(spark, lambda: minhash.near_duplicates(copies(spark), common.Scratch(spark, "t")).count())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def plain_lines(docs):
     """The numbers of each document's lines that go."""
     # A line goes if some run of lines with words, of 50 words or more, that holds it came earlier.
