@@ -88,12 +88,36 @@ class Order:
     logb: np.ndarray  # the share that a history leaves to the lower order
 
 
+@dataclass
+class Whole:
+    """What a shard of a model must know of the others: if codes are high, the bigrams, how many n-grams count 1 to 4, by order."""
+
+    wide: bool
+    pairs: tuple[np.ndarray, np.ndarray, np.ndarray]
+    many: dict[int, list[float]]
+
+
+def shard(k: np.ndarray, high: np.ndarray | None, shards: int) -> np.ndarray:
+    """The shard of each ORDER-gram, by the two characters before its last; SHARD in SQL."""
+    x = (k >> CHAR & ((1 << 2 * CHAR) - 1)) * 40503
+    if high is not None:
+        x = x + (high >> HIGH & ((1 << 2 * HIGH) - 1)) * 2654435761
+    return x % 1000003 % shards
+
+
+#: The same of the columns gram and high, before the last remainder.
+SHARD = f"((shiftright(gram, {CHAR}) & {(1 << 2 * CHAR) - 1}) * 40503L + (shiftright(high, {HIGH}) & {(1 << 2 * HIGH) - 1}) * 2654435761L) % 1000003"
+
+
 class Model:
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, high: np.ndarray | None = None):
-        """grams: distinct ORDER-gram keys with their counts in the trusted text; high: their high bits."""
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, high: np.ndarray | None = None, whole: Whole | None = None):
+        """grams: distinct ORDER-gram keys with their counts in the trusted text; high: their high bits.
+
+        With ``whole`` these are the n-grams of one shard, all that share the two characters before their last.
+        """
         high = np.zeros(len(grams), np.int64) if high is None else high
         # The base is even over the low codes where the trusted text has no others, else over all.
-        symbols = 1 << (CHAR + HIGH * bool(high.any()))
+        symbols = 1 << (CHAR + HIGH * bool(high.any() if whole is None else whole.wide))
         self.base = -np.log(symbols)
         by = np.argsort(fold(grams, high))
         level = {ORDER: (grams[by], high[by], counts[by].astype(float))}
@@ -101,14 +125,14 @@ class Model:
             # Below the top an n-gram counts the distinct characters before it.
             low, up = level[n + 1][0] & ((1 << CHAR * n) - 1), level[n + 1][1] & ((1 << HIGH * n) - 1)
             _, one, c = np.unique(fold(low, up), return_index=True, return_counts=True)
-            level[n] = (low[one], up[one], c.astype(float))
+            level[n] = whole.pairs if whole and n == 2 else (low[one], up[one], c.astype(float))
         self.orders: dict[int, Order] = {}
         below = None
         for n in range(1, ORDER + 1):
             k, up, c = level[n]
             h, of = np.unique(fold(k >> CHAR, up >> HIGH), return_inverse=True)
             total = np.bincount(of, c, len(h))
-            many = [float((c == x).sum()) for x in (1, 2, 3, 4)]
+            many = whole.many[n] if whole and n > 2 else [float((c == x).sum()) for x in (1, 2, 3, 4)]
             y = many[0] / max(1.0, many[0] + 2 * many[1])
             d = [min(x + 0.95, max(0.05, x + 1 - (x + 2) * y * many[x + 1] / max(1.0, many[x]))) for x in range(3)]
             cut = np.where(c == 1, d[0], np.where(c == 2, d[1], d[2]))

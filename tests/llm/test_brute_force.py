@@ -436,6 +436,19 @@ def test_quality_of_a_rare_language(spark):
     assert sum(got[i] for i, *_ in junk) <= 3 and sum(got[i] for i, *_ in rare) >= 36
 
 
+@pytest.mark.parametrize("shard_grams", [10**9, 400])
+def test_quality_learns_from_all_trusted_documents(spark, monkeypatch, shard_grams):
+    monkeypatch.setattr(quality, "SHARD_GRAMS", shard_grams, raising=False)
+    docs = [(i, " ".join(words(4)) + (" \u4e2d\u6587\u5b57" if i % 50 == 0 else ""), "en") for i in range(900)]
+    labels = [(i, 1, 0) for i, *_ in docs if i % 3]
+    got = {r["doc_id"]: r["perplexity"] for r in quality.classify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), common.Scratch(spark, "t")).collect()}
+    low = np.concatenate([kneser_ney.keys(t) for i, t, _ in docs if i % 3])
+    high = np.concatenate([np.zeros(len(kneser_ney.keys(t)), np.int64) if (h := kneser_ney.highs(t)) is None else h for i, t, _ in docs if i % 3])
+    _, one, n = np.unique(kneser_ney.fold(low, high), return_index=True, return_counts=True)
+    plain = kneser_ney.Model(low[one], n, high[one])
+    assert all(math.isclose(got[i], math.exp(-plain.text_log_probability(t).mean()), rel_tol=1e-9) for i, t, _ in docs)
+
+
 def test_quality(spark):
     good = [(i, " ".join(words(R.randint(30, 200))), R.choice(["en", "de"])) for i in range(400)]
     bad = [(1000 + i, " ".join(w.upper() + "!!" for w in words(60)), "en") for i in range(30)]
