@@ -26,13 +26,19 @@ def _codes(text: str) -> np.ndarray:
 
 def keys(text: str) -> np.ndarray:
     """The low bits of the ORDER-gram that ends at each character, packed; the text is preceded by line ends."""
-    return _packed(_codes(text) & ((1 << CHAR) - 1), CHAR)
+    return both(text)[0]
 
 
 def highs(text: str) -> np.ndarray | None:
     """The high bits of the same ORDER-grams, or None where all are 0."""
-    c = _codes(text) >> CHAR
-    return _packed(c, HIGH) if c.any() else None
+    return both(text)[1]
+
+
+def both(text: str) -> tuple[np.ndarray, np.ndarray | None]:
+    """``keys`` and ``highs``."""
+    c = _codes(text)
+    up = c >> CHAR
+    return _packed(c & ((1 << CHAR) - 1), CHAR), _packed(up, HIGH) if up.any() else None
 
 
 def fold(low: np.ndarray, high: np.ndarray | None) -> np.ndarray:
@@ -83,18 +89,21 @@ class Table:
 @dataclass
 class Order:
     grams: Table
-    logp: np.ndarray  # of seen grams, interpolated
+    logp: np.ndarray  # of seen grams, interpolated; a row for each model
     histories: Table
-    logb: np.ndarray  # the share that a history leaves to the lower order
+    logb: np.ndarray  # the share that a history leaves to the lower order; a row for each model
 
 
 @dataclass
 class Whole:
-    """What a shard of a model must know of the others: if codes are high, the bigrams, how many n-grams count 1 to 4, by order."""
+    """What a shard of models must know of the others: if codes are high, the bigrams, how many n-grams count 1 to 4, by order.
+
+    All but the bigrams' keys are by model.
+    """
 
-    wide: bool
+    wide: list[bool]
     pairs: tuple[np.ndarray, np.ndarray, np.ndarray]
-    many: dict[int, list[float]]
+    many: dict[int, list[list[float]]]
 
 
 def shard(k: np.ndarray, high: np.ndarray | None, shards: int) -> np.ndarray:
@@ -110,56 +119,76 @@ SHARD = f"((shiftright(gram, {CHAR}) & {(1 << 2 * CHAR) - 1}) * 40503L + (shiftr
 
 
 class Model:
+    """Models of several selections of one trusted text, which share their keys; one model if counts have one row.
+
+    An n-gram that a model lacks has there the probability that backing off would give it, a history it
+    lacks leaves all to the lower order: so each gives what it would give with keys of its own.
+    """
+
     def __init__(self, grams: np.ndarray, counts: np.ndarray, high: np.ndarray | None = None, whole: Whole | None = None):
-        """grams: distinct ORDER-gram keys with their counts in the trusted text; high: their high bits.
+        """grams: distinct ORDER-gram keys with their counts in the trusted text, by model; high: their high bits.
 
         With ``whole`` these are the n-grams of one shard, all that share the two characters before their last.
         """
         high = np.zeros(len(grams), np.int64) if high is None else high
+        counts = np.atleast_2d(counts).astype(float)
         # The base is even over the low codes where the trusted text has no others, else over all.
-        symbols = 1 << (CHAR + HIGH * bool(high.any() if whole is None else whole.wide))
+        wide = [bool(high[c > 0].any()) for c in counts] if whole is None else whole.wide
+        symbols = [1 << (CHAR + HIGH * w) for w in wide]
         self.base = -np.log(symbols)
         by = np.argsort(fold(grams, high))
-        level = {ORDER: (grams[by], high[by], counts[by].astype(float))}
+        level = {ORDER: (grams[by], high[by], counts[:, by])}
         for n in range(ORDER - 1, 0, -1):
             # Below the top an n-gram counts the distinct characters before it.
             low, up = level[n + 1][0] & ((1 << CHAR * n) - 1), level[n + 1][1] & ((1 << HIGH * n) - 1)
-            _, one, c = np.unique(fold(low, up), return_index=True, return_counts=True)
-            level[n] = whole.pairs if whole and n == 2 else (low[one], up[one], c.astype(float))
+            _, one, of = np.unique(fold(low, up), return_index=True, return_inverse=True)
+            c = np.array([np.bincount(of, x > 0, len(one)) for x in level[n + 1][2]])
+            level[n] = whole.pairs if whole and n == 2 else (low[one], up[one], c)
         self.orders: dict[int, Order] = {}
         below = None
         for n in range(1, ORDER + 1):
             k, up, c = level[n]
             h, of = np.unique(fold(k >> CHAR, up >> HIGH), return_inverse=True)
-            total = np.bincount(of, c, len(h))
-            many = whole.many[n] if whole and n > 2 else [float((c == x).sum()) for x in (1, 2, 3, 4)]
-            y = many[0] / max(1.0, many[0] + 2 * many[1])
-            d = [min(x + 0.95, max(0.05, x + 1 - (x + 2) * y * many[x + 1] / max(1.0, many[x]))) for x in range(3)]
-            cut = np.where(c == 1, d[0], np.where(c == 2, d[1], d[2]))
-            left = np.bincount(of, cut, len(h)) / total
-            low = np.full(len(k), 1.0 / symbols) if below is None else below[1][below[0].find(fold(k & ((1 << CHAR * (n - 1)) - 1), up & ((1 << HIGH * (n - 1)) - 1)))]
-            p = (c - cut) / total[of] + left[of] * low
             grams_ = Table(fold(k, up))
+            at = None if below is None else below[0].find(fold(k & ((1 << CHAR * (n - 1)) - 1), up & ((1 << HIGH * (n - 1)) - 1)))
+            p, left = np.empty((len(c), len(k))), np.empty((len(c), len(h)))
+            for m, own in enumerate(c):
+                total = np.bincount(of, own, len(h))
+                many = whole.many[n][m] if whole and n > 2 else [float((own == x).sum()) for x in (1, 2, 3, 4)]
+                y = many[0] / max(1.0, many[0] + 2 * many[1])
+                d = [min(x + 0.95, max(0.05, x + 1 - (x + 2) * y * many[x + 1] / max(1.0, many[x]))) for x in range(3)]
+                cut = np.array([0.0, *d])[np.minimum(own, 3).astype(np.int64)]
+                total, left[m] = np.maximum(total, 1.0), np.where(total > 0, np.bincount(of, cut, len(h)) / np.maximum(total, 1.0), 1.0)
+                p[m] = (own - cut) / total[of] + left[m][of] * (1.0 / symbols[m] if at is None else below[1][m][at])
             self.orders[n] = Order(grams_, np.log(p), Table(h), np.log(left))
             below = (grams_, p)
 
-    def log_probability(self, k: np.ndarray, high: np.ndarray | None = None) -> np.ndarray:
-        """ln P(last character | those before it) of each key."""
-        out, left = np.zeros(len(k)), np.arange(len(k))
+    def log_probabilities(self, k: np.ndarray, high: np.ndarray | None, which: list[np.ndarray | int]) -> list[np.ndarray]:
+        """ln P(last character | those before it) of each key, for each of ``which``: a model for all keys or one for each."""
+        outs, left = [np.zeros(len(k)) for _ in which], np.arange(len(k))
+
+        def add(values: np.ndarray, some: np.ndarray, row: np.ndarray) -> None:
+            for w, out in zip(which, outs, strict=True):
+                out[some] += values[w][row] if isinstance(w, int) else values[w[some], row]
+
         for n in range(ORDER, 0, -1):
             o = self.orders[n]
             part, up = k[left] & ((1 << CHAR * n) - 1), None if high is None else high[left] & ((1 << HIGH * n) - 1)
             row = o.grams.find(fold(part, up))
             seen = row >= 0
-            out[left[seen]] += o.logp[row[seen]]
+            add(o.logp, left[seen], row[seen])
             left, part, up = left[~seen], part[~seen], None if up is None else up[~seen]
             if not len(left):
-                return out
+                return outs
             h = o.histories.find(fold(part >> CHAR, None if up is None else up >> HIGH))
-            if len(o.logb):
-                out[left] += np.where(h >= 0, o.logb[np.maximum(h, 0)], 0.0)
-        out[left] += self.base
-        return out
+            add(o.logb, left[h >= 0], h[h >= 0])
+        for w, out in zip(which, outs, strict=True):
+            out[left] += self.base[w] if isinstance(w, int) else self.base[w[left]]
+        return outs
+
+    def log_probability(self, k: np.ndarray, high: np.ndarray | None = None) -> np.ndarray:
+        """ln P(last character | those before it) of each key, of the first model."""
+        return self.log_probabilities(k, high, [0])[0]
 
     def text_log_probability(self, text: str) -> np.ndarray:
         return self.log_probability(keys(text), highs(text))

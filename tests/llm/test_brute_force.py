@@ -2,6 +2,7 @@
 
 import json
 import math
+import pickle
 import random
 import re
 import zlib
@@ -449,6 +450,41 @@ def test_quality_learns_from_all_trusted_documents(spark, monkeypatch, shard_gra
     assert all(math.isclose(got[i], math.exp(-plain.text_log_probability(t).mean()), rel_tol=1e-9) for i, t, _ in docs)
 
 
+def test_quality_hands_out_small_models(spark, monkeypatch):
+    """What all tasks get is a few bytes for each 5-gram, and the texts are scored once: disk and time go with these."""
+    sent, passes = [], []
+    context, frame = type(spark.sparkContext), type(spark.range(0))
+    broadcast, mapped = context.broadcast, frame.mapInArrow
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(len(pickle.dumps(value))) or broadcast(self, value))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **k: passes.append(f.__name__) or mapped(self, f, *a, **k))
+    docs = [(i, " ".join("".join(R.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)), "en") for i in range(500)]
+    got = quality.classify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1, 0) for i, *_ in docs], "doc_id long, quality int, toxic int"), common.Scratch(spark, "t")).collect()
+    assert len(got) == len(docs)
+    grams = len(np.unique(np.concatenate([kneser_ney.keys(t) for _, t, _ in docs])))
+    assert grams > 100_000 and sum(sent) < 20 * grams
+    assert passes.count("score") == 1
+
+
+def test_kneser_ney_of_several_selections():
+    texts = ["abracadabra " * 3, "the quick brown fox \u4e2d " * 5, "zebra crossing", ""]
+    found = [(kneser_ney.keys(t), np.zeros(len(t), np.int64) if (h := kneser_ney.highs(t)) is None else h) for t in texts]
+
+    def model(some):
+        low, high = (np.concatenate(x) for x in zip(*[found[i] for i in some], strict=True))
+        _, one, n = np.unique(kneser_ney.fold(low, high), return_index=True, return_counts=True)
+        return kneser_ney.Model(low[one], n, high[one]), dict(zip(zip(low[one].tolist(), high[one].tolist(), strict=True), n.tolist(), strict=True))
+
+    picks = [[0, 1, 2], [0, 2], [1], [3]]
+    grams = list(model(picks[0])[1])
+    counts = np.array([[model(p)[1].get(g, 0) for g in grams] for p in picks])
+    both = kneser_ney.Model(np.array([g[0] for g in grams]), counts, np.array([g[1] for g in grams]))
+    for low, high in [*found, (found[0][0] + 1, found[0][1])]:
+        for got, p in zip(both.log_probabilities(low, high, list(range(4))), picks, strict=True):
+            assert np.allclose(got, model(p)[0].log_probability(low, high), rtol=1e-12)
+        each = np.arange(len(low)) % 4
+        assert (both.log_probabilities(low, high, [each])[0] == np.choose(each, both.log_probabilities(low, high, [0, 1, 2, 3]))).all()
+
+
 def test_quality(spark):
     good = [(i, " ".join(words(R.randint(30, 200))), R.choice(["en", "de"])) for i in range(400)]
     bad = [(1000 + i, " ".join(w.upper() + "!!" for w in words(60)), "en") for i in range(30)]
