@@ -35,6 +35,12 @@ MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "byt
 #: The word pattern, for these characters.
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 
+#: Words, a line each, with a character that is not of SIMPLE or with an apostrophe, which the word pattern may bind to letters.
+ODD = re.compile(rf"^.*[^{LETTERS}0-9!-&(-/:-@\[-`{{-~\n].*$", re.MULTILINE)
+#: The kinds of bytes in other words: beyond ASCII all are of letters.
+LETTER, DIGIT, MARK, GAP = range(4)
+KIND = np.array([GAP if b == 10 else LETTER if b >= 128 or chr(b).isalpha() else DIGIT if chr(b).isdigit() else MARK for b in range(256)], np.uint8)
+
 
 def added(path: str) -> list[bytes]:
     """The texts of the file's added tokens, which are found as they are written, before all else."""
@@ -72,18 +78,30 @@ class Merges:
         self.none = len(pairs)
 
     def encode(self, words: list[bytes]) -> list[bytes]:
-        """The little-endian 32-bit ids of each word; no word is empty."""
+        """The little-endian 32-bit ids of each word, merged as one part; no word is empty."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        sym, of = self.inner[raw], np.repeat(np.arange(len(words)), size)
-        ends = np.cumsum(size) - 1
+        return self._encode(np.frombuffer(b"".join(words), np.uint8), np.repeat(np.arange(len(words), dtype=np.int32), size), np.arange(len(words)))
+
+    def encode_plain(self, words: list[bytes]) -> list[bytes]:
+        """The little-endian 32-bit ids of words that ``odd`` does not name, each cut as ``split`` cuts it."""
+        raw = np.frombuffer(b"\n".join(words).decode("utf-8").lower().encode("utf-8"), np.uint8)
+        kind = KIND[raw]
+        # A part ends where the kind changes; a digit is a part, and so is each word.
+        first = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+        gap = kind == GAP
+        word = np.cumsum(gap, dtype=np.int32)[~gap]
+        first = first[~gap]
+        return self._encode(raw[~gap], np.cumsum(first, dtype=np.int32) - np.int32(1), word[first])
+
+    def _encode(self, raw: np.ndarray, part: np.ndarray, word: np.ndarray) -> list[bytes]:
+        """raw: bytes of all words; part: the part of each byte; word: the word of each part. Each word's ids."""
+        sym, of = self.inner[raw], part
+        ends = np.flatnonzero(np.append(of[1:] != of[:-1], True))
         sym[ends] = self.last[raw[ends]]
+        # rank[i]: of the pair of i and the next symbol
+        rank = self._ranks(sym, of, np.arange(len(sym)))
         out_sym, out_of = [], []
         while len(sym):
-            rank = np.full(len(sym), self.none, np.int64)
-            near = np.flatnonzero(of[1:] == of[:-1])
-            got = self.pair.find(sym[near] * self.base + sym[near + 1])
-            rank[near] = np.where(got >= 0, got, self.none)
             start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
             best = np.minimum.reduceat(rank, start)
             each = np.repeat(best, np.diff(np.append(start, len(sym))))
@@ -96,19 +114,41 @@ class Merges:
                     break
             hit = rank == each
             # Of a run of overlapping pairs every other one merges, from the left.
-            first = hit & ~np.append(False, hit[:-1])
-            at = np.arange(len(hit))
-            hit &= (at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0
-            sym = np.where(hit, self.made[np.minimum(rank, self.none - 1)], sym)
+            if (hit[1:] & hit[:-1]).any():
+                first = hit & ~np.append(False, hit[:-1])
+                at = np.arange(len(hit))
+                hit &= (at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0
+            merged = np.flatnonzero(hit)
+            sym[merged] = self.made[rank[merged]]
+            # Only pairs with a merged symbol have new ranks.
+            new = hit.copy()
+            new[:-1] |= hit[1:]
             stay = ~np.append(False, hit[:-1])
-            sym, of = sym[stay], of[stay]
+            sym, of, rank, new = sym[stay], of[stay], rank[stay], np.flatnonzero(new[stay])
+            rank[new] = self._ranks(sym, of, new)
         sym, of = np.concatenate(out_sym), np.concatenate(out_of)
         by = np.argsort(of, kind="stable")
         data = sym[by].astype("<u4").tobytes()
-        cuts = 4 * np.append(0, np.cumsum(np.bincount(of, minlength=len(words))))
+        cuts = 4 * np.append(0, np.cumsum(np.bincount(word[of], minlength=int(word[-1]) + 1)))
         cuts = cuts.tolist()
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def _ranks(self, sym: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rank of the pair at each place ``at`` and the next one, or ``none`` where these do not merge."""
+        rank = np.full(len(at), self.none, np.int32)
+        last = at[-1] == len(sym) - 1 if len(at) else False
+        here = at[:-1] if last else at
+        near = np.flatnonzero(of[here] == of[here + 1])
+        here = here[near]
+        got = self.pair.find(sym[here] * self.base + sym[here + 1])
+        rank[near[got >= 0]] = got[got >= 0]
+        return rank
+
+
+def odd(words: list[bytes]) -> set[bytes]:
+    """Those of the lower-cased words that ``Merges.encode_plain`` can't take."""
+    return {w.encode("utf-8") for w in ODD.findall(b"\n".join(words).decode("utf-8"))}
+
 
 def split(word: bytes) -> list[bytes] | None:
     """The tokenizer's words of a lower-cased word, or None where it must see the word itself."""

@@ -42,7 +42,8 @@ class WordTokenizer:
     """Whole-text ids through a cache of words.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words
-    split at ASCII white space, joined. New words of a batch are merged together. It ignores case but in
+    split at ASCII white space, joined. New words of a batch are merged together; up to two times ``cached``
+    words and those of a batch are held, the least lately met of which go. It ignores case but in
     its added tokens and where a mark after a letter is composed first: such a word goes to the library as
     it is written. A file of other rules than ``bpe`` knows goes to the library text by text.
     """
@@ -54,7 +55,7 @@ class WordTokenizer:
         self.merges = bpe.Merges(path) if bpe.understood(path) else None
         self.marks = [m.lower() for m in bpe.added(path)]
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def cased(self, text: bytes, lower: bytes) -> bool:
         """Whether case may matter: a possible added token, or a capital before a character that may be a mark."""
@@ -66,20 +67,22 @@ class WordTokenizer:
             return lower.split()
         return [w if self.cased(w, w.lower()) else w.lower() for w in text.split()]
 
-    def learn(self, new: list[bytes]) -> None:
-        if len(self.known) > self.cached:
-            self.known.clear()
-        if len(self.parts) > self.cached:
-            self.parts.clear()
-        split = {w: None if self.cased(w, w.lower()) else bpe.split(w) for w in new}
-        parts = self.parts
-        fresh = list({p for ps in split.values() if ps for p in ps if p not in parts})
-        if fresh:
-            parts.update(zip(fresh, self.merges.encode(fresh), strict=True))
-        other = [w for w, ps in split.items() if ps is None]
+    def learn(self, new: set[bytes], cased: bool) -> None:
+        """Make new words known. cased: some are perhaps as they are written."""
+        other = {w for w in new if self.cased(w, w.lower())} if cased else set()
+        plain = list(new - other)
+        if odd := bpe.odd(plain):
+            plain = [w for w in plain if w not in odd]
+            split = {w: bpe.split(w) for w in odd}
+            other.update(w for w, ps in split.items() if ps is None)
+            parts = list({p for ps in split.values() if ps for p in ps})
+            ids = dict(zip(parts, self.merges.encode(parts), strict=True)) if parts else {}
+            self.known.update((w, b"".join([ids[p] for p in ps])) for w, ps in split.items() if ps is not None)
+        if plain:
+            self.known.update(zip(plain, self.merges.encode_plain(plain), strict=True))
+        other = list(other)
         for w, e in zip(other, self.encode([w.decode("utf-8") for w in other], add_special_tokens=False) if other else (), strict=True):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
-        self.known.update((w, b"".join([parts[p] for p in ps])) for w, ps in split.items() if ps is not None)
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -97,17 +100,20 @@ class WordTokenizer:
             while end < len(texts) and (end == at or size + len(texts[end]) <= AT_ONCE):
                 size += len(texts[end])
                 end += 1
-            words = [self.words(t) for t in texts[at:end]]
-            new = set().union(*words).difference(self.known) if words else ()
+            if len(self.known) > self.cached:  # words that are met again come back from the older ones
+                self.known, self.older = {}, self.known
+            lower = [t.lower() for t in texts[at:end]]
+            cased = [self.cased(t, x) for t, x in zip(texts[at:end], lower, strict=True)]
+            words = [self.words(t) if c else x.split() for t, x, c in zip(texts[at:end], lower, cased, strict=True)]
+            known, older = self.known, self.older
+            new = set().union(*words).difference(known)
+            back = new.intersection(older)
+            known.update((w, older[w]) for w in back)
+            new -= back
             if new:
-                self.learn(list(new))
-            known = self.known
+                self.learn(new, any(cased))
             for w in words:
-                try:
-                    yield b"".join([known[x] for x in w])
-                except KeyError:  # the cache was emptied since
-                    self.learn([x for x in set(w) if x not in known])
-                    yield b"".join([known[x] for x in w])
+                yield b"".join(map(known.__getitem__, w))
             at = end
 
 

@@ -389,6 +389,23 @@ def test_language(spark):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.97 * len(held)
 
 
+def test_tokenizer_merges_a_word_once(monkeypatch):
+    """Words met again aren't merged again when the cache turns over, nor text by text; ids are the library's."""
+    path = tokenizer_path()
+    merged = []
+    learn = packing.WordTokenizer.learn
+    monkeypatch.setattr(packing.WordTokenizer, "learn", lambda self, new, *a: merged.append(list(new)) or learn(self, new, *a))
+    w, plain = packing.WordTokenizer(path, cached=100), Tokenizer.from_file(path)
+    letters = "abcdefghijkl\u00e9\u00d6\u0178\u0133XYZ0123456789.,;!?#$%&'-_~\u2019\u4e2d"
+    pool = list({"".join(R.choice(letters) for _ in range(R.randint(1, 12))) for _ in range(150)})
+    first = [" ".join(pool)] * 2
+    later = [[" ".join([*R.sample(pool, 100), f"new{k}{i}"]) for i in range(20)] for k in range(3)]
+    for batch in (first, *later):
+        for t, ids in zip(batch, w.all_ids([t.encode() for t in batch]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert len(merged) <= 4 and max(Counter(x for new in merged for x in new).values()) == 1
+
+
 def test_kneser_ney():
     text = "abracadabra " * 3 + "the quick brown fox " * 5
     k, n = np.unique(kneser_ney.keys(text), return_counts=True)
