@@ -113,6 +113,19 @@ def test_dedup_lines_forgets(spark):
     assert run(spark, postprocess.dedup_lines, "\n".join(rows)) == ["\n".join(want)]
 
 
+@pytest.mark.parametrize("name", ["dedup_lines"])
+def test_repeats_far_apart_equal_the_sql(spark, tmp_path, name):
+    text = "\n".join(["Far line", *[f"line {i}" for i in range(130)], "far LINE", "", "line 3", "", *["end"] * 3])
+    rows = [(k, t, "en", "web", 0) for k, t in enumerate([text, "", None, text * 2, "one line"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = c.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    got = entry.queries()[name](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(cur.fetchall()) and len(got) == len(rows)
+
+
 def test_plain_chunks(spark):
     text = " ".join(f"w{i}." if i % 9 == 0 else f"w{i}" for i in range(700))
     want, now = [], []
