@@ -113,7 +113,7 @@ def test_dedup_lines_forgets(spark):
     assert run(spark, postprocess.dedup_lines, "\n".join(rows)) == ["\n".join(want)]
 
 
-@pytest.mark.parametrize("name", ["dedup_lines"])
+@pytest.mark.parametrize("name", ["dedup_lines", "postprocess"])
 def test_repeats_far_apart_equal_the_sql(spark, tmp_path, name):
     text = "\n".join(["Far line", *[f"line {i}" for i in range(130)], "far LINE", "", "line 3", "", *["end"] * 3])
     rows = [(k, t, "en", "web", 0) for k, t in enumerate([text, "", None, text * 2, "one line"])]
