@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from sheafwork import queries
 from sheafwork.functions import text as T
+from sheafwork.functions import vocab as V
 from sheafwork.operators import chunks, cleanup, extraction, formatting, postprocess, routing, structure, understand
 from sheafwork.plans import generate
 
@@ -126,6 +127,37 @@ def test_repeats_far_apart_equal_the_sql(spark, tmp_path, name):
     assert sorted(map(tuple, got)) == sorted(cur.fetchall()) and len(got) == len(rows)
 
 
+SPREAD = [f"a{chr(k)}b{chr(k)}" for k in [*range(1, 0x250), *range(0x1680, 0x1690), *range(0x1FFF, 0x2070), 0x212A, 0x3000, 0xFEFF]]
+CASED = [f"{w}{sep}x" for word in ("ofthis", "THINGSAPPEAR", "Cells.Cell", "oftheſe", "ofthıs", "OFTHİS", "confİdential", "draft", "İ draft", "page 3 OF ٣") for w in (word, f"x{word}", f"{word}_") for sep in ("\n", " ", ".", ":")]
+
+
+@pytest.mark.parametrize(
+    ("f", "plain"),
+    [
+        (T.strip, [(r"\A\s+|\s+\z", "")]),
+        (lambda c: T.joined(T.lines(F.concat(c, F.lit("."))), "|"), lambda c: F.array_join(F.split(F.concat(c, F.lit(".")), "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1), "|")),
+        (cleanup.basic_spacing, lambda c: T.replace(F.translate(c, "\r\t", "\n "), "[ ]{2,}", " ")),
+        (cleanup.bullet_norm, [("[•●○▪■]+", "-"), (r"^\s*[–—]\s+", "- ", "m")]),
+        (cleanup.ocr_merges, [("([a-z])([A-Z])", "$1 $2"), *[(rf"\b{k}\b", v, "i") for k, v in V.CLEANUP_MERGES.items()]]),
+        (cleanup.norm_merges, [(rf"\b{k}\b", v, "i") for k, v in V.NORMALIZER_MERGES.items()]),
+        (cleanup.dense_markers, [*[(rf"\s+({re.escape(m)}\s*:)", "\n\n$1", "i") for m in V.DENSE_MARKERS], *cleanup.GUIDELINE_RULES]),
+        (cleanup.punct_spacing, [("([!?;:])([A-Za-z0-9])", "$1 $2"), (r"(?<!\d)\.([A-Za-z])", ". $1"), (",([A-Za-z])", ", $1")]),
+        (lambda c: T.joined(F.filter(T.lines(c), lambda x: ~cleanup.is_page_noise(x)), "|"), lambda c: T.joined(F.filter(T.lines(c), lambda x: ~F.exists(F.array(*[T.matches(F.lower(T.strip(x)), p, "i") for p in V.PAGE_NOISE]), lambda y: y)), "|")),
+    ],
+)
+def test_quick_forms_equal_plain_ones(spark, f, plain):
+    marked = [f"x {m}{c} : y. {m}: 2 Cover Page – z" for m in V.DENSE_MARKERS for c in ("", "S")] + [f"{w.lower()}ſ binding\u2028paper\xa0: ſpacing/alıgnment: numberİng :" for w in V.DENSE_MARKERS]
+    texts = [*ODD, *RANDOM, *SPREAD, *CASED, *marked, "wordcell ofthe OFTHE ofthese,inthe\nseparateunits.The cells.cell", "1.a a.b .c 2.5.d ..e", "a\n\n – b\r\n— c"]
+    slow = plain if callable(plain) else lambda c: T.replace_all(c, plain)
+    assert run(spark, f, *texts) == run(spark, slow, *texts)
+
+
+def test_replacements_pass_only_texts_that_hold_their_words(spark):
+    plan = spark.createDataFrame([("x",)], "t string").select(cleanup.ocr_merges(F.col("t")).alias("o"), cleanup.dense_markers(F.col("t")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    # One replacement each, in a fold over the rules found, beside the splits of case and the two guidelines; before: 30.
+    assert plan.count("regexp_replace(") == 5
+
+
 def test_plain_chunks(spark):
     text = " ".join(f"w{i}." if i % 9 == 0 else f"w{i}" for i in range(700))
     want, now = [], []
