@@ -289,3 +289,29 @@ def test_sql(spark, duck, name):
     want = sorted((tuple(rounded(r[names.index(c)]) for c in df.columns) for r in cur.fetchall()), key=repr)
     got = sorted((tuple(rounded(v) for v in r) for r in df.collect()), key=repr)
     assert got == want and got
+
+
+def test_parse_by_text_equals_the_line_tables(spark):
+    """Noise, sections and tables of each text by itself are those of the joined line tables."""
+    pages = "Confidential page 1\nhttp a\n| a | b | c |\n| 1 | 2 | 3 |\n--- Page 2 ---\nConfidential page 2\nmiddle\nhttp a\n\fhttp a\nCHAPTER ONE\nx\ty\nplain\nz\tw\tv\n|---|---|\nu\tt\n\nq\tr\n12\n12\n12"
+    texts = [*ODD, *RANDOM[:80], pages, pages * 2, "1. Introduction to methods\nwhat is it\nChapter 1: A thing\n\nbody", "a | b\nc | d", "copyright\n\fcopyright", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").coalesce(1)
+    got = {r["doc_id"]: r for r in structure.parse(d, "t").collect()}
+    noise = structure.remove_page_noise(d, "t")
+    plain = noise.withColumn("_t", structure.inline_headings(F.col("cleaned_text")))
+    secs = structure.sections(structure.line_table(plain, "_t")).orderBy("doc_id", "section").collect()
+    tabs = structure.text_tables(plain, "_t").orderBy("doc_id", "table").collect()
+    assert len(got) == len(texts) and secs and tabs and any(r["removed_noise"] for r in got.values())
+    for r in plain.collect():
+        mine = got[r["doc_id"]]
+        assert (mine["text"], mine["removed_noise"], mine["removed_noise_count"]) == (r["_t"], r["removed_noise"][:10], len(r["removed_noise"]))
+        assert [tuple(s) for s in mine["sections"]] == [tuple(s)[1:] for s in secs if s["doc_id"] == r["doc_id"]]
+        assert [(x["table"], x["rows"]) for x in mine["tables"]] == [(x["table"], x["rows"]) for x in tabs if x["doc_id"] == r["doc_id"]]
+
+
+def test_parse_shuffles_no_text(spark):
+    d = spark.createDataFrame([(1, "x")], "doc_id long, t string")
+    for df in (structure.parse(d, "t"), chunks.chunk_table(generate.parsed_chunks(d, "t"))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        # Each text is looked through for headings in the line once, not again to count its chunks.
+        assert "Join" not in plan and "Filter (" not in plan.split("Generate")[-1] and plan.count("{4,90}") == 1
