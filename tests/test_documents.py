@@ -315,3 +315,10 @@ def test_parse_shuffles_no_text(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         # Each text is looked through for headings in the line once, not again to count its chunks.
         assert "Join" not in plan and "Filter (" not in plan.split("Generate")[-1] and plan.count("{4,90}") == 1
+
+
+def test_only_prompts_go_to_python(spark):
+    d = spark.createDataFrame([(1, "abc", 2, "a whole text")], "doc_id long, prompt string, max_tokens int, final_text string")
+    plan = generate.ask(d, Echo)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and plan.count("run(prompt#") >= 1
+    assert generate.ask(d, Echo).first()["final_text"] == "a whole text"
